@@ -2,5 +2,48 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import nested as N
+from ..sources.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _records(spark: SparkSession, d: str) -> tuple[DataFrame, N.Plan]:
+    records = table(spark, d, "registros")
+    return records, N.relations(N.schema_graph(records, "payload", N.CASE_SHAPE))
+
+
+@query
+def p4_graph(spark: SparkSession, d: str) -> DataFrame:
+    return N.schema_graph(table(spark, d, "registros"), "payload", N.CASE_SHAPE)
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """A redelivered record gives the same rows again; they are distinct by (record, list, parent, position)."""
+    records, plan = _records(spark, d)
+    return N.shred(records, "payload", "registro_id", plan, N.CASE_SHAPE, N.CASE_SHAPE.lists, values=False).distinct()
+
+
+def _flat(lista: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        records, plan = _records(spark, d)
+        rows = N.shred(records, "payload", "registro_id", plan, N.CASE_SHAPE, tuple({lista, N.CASE_SHAPE.owners.get(lista, lista)} - ({N.ROOT} if lista != N.ROOT else set())))
+        return N.flat_table(rows, plan, lista, "registro_id").distinct()
+
+    return run
+
+
+for _lista in (N.ROOT, *N.CASE_SHAPE.lists):
+    QUERIES[f"p4_{_lista}"] = _flat(_lista)
