@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import nested as N
+from ..operators import units as U
 from ..sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +48,19 @@ def _flat(lista: str) -> Callable[[SparkSession, str], DataFrame]:
 
 for _lista in (N.ROOT, *N.CASE_SHAPE.lists):
     QUERIES[f"p4_{_lista}"] = _flat(_lista)
+
+
+@query
+def p5_amounts(spark: SparkSession, d: str) -> DataFrame:
+    """Every amount in the common unit of its magnitude."""
+    units = table(spark, d, "unidades")
+    v = U.vitals_in_common_units(table(spark, d, "constantes"), units)
+    m = U.doses_in_common_units(table(spark, d, "medicaciones"), units)
+    columns = ["magnitud", "valor", "dicha", "unidad_id", "comun", "juicio", "posterior", "incierto"]
+    return v.select(F.lit("constantes").alias("tabla"), F.col("lectura_id").alias("fila_id"), *columns).unionByName(m.select(F.lit("medicaciones").alias("tabla"), F.col("medicacion_id").alias("fila_id"), *columns))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    common = [r.unidad_id for r in table(spark, d, "unidades").filter("es_comun").select("unidad_id").collect()]
+    return p5_amounts(spark, d).filter(~F.col("unidad_id").isin(*common)).select("tabla", "fila_id", "unidad_id").distinct()
