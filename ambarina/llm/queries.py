@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import split
+from . import bpe, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -43,3 +43,16 @@ def p3_dialogue_pieces(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p3_turn_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_texts(table(spark, d, "turnos"), *_limits(spark, d)["turno"], ("case_id", "seq"))
+
+
+# --- 6: token ids
+
+
+@query
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "documents"), "doc_id")
+
+
+@query
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.token_counts(table(spark, d, "documents"), "doc_id", keep=("source",))
