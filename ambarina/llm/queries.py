@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, split
+from . import bpe, level, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -56,3 +56,29 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return bpe.token_counts(table(spark, d, "documents"), "doc_id", keep=("source",))
+
+
+# --- 8: reading level
+
+
+def _levels(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    model = level.train(level.labelled_texts(documents, table(spark, d, "niveles_muestra")) or level.seeds(documents))
+    return level.levels(documents, model, keep=keep)
+
+
+@query
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d, "source", "lang")
+
+
+@query
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    return level.profile(_levels(spark, d, "source"))
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "niveles_muestra").select("doc_id").distinct()
+    new = _levels(spark, d, "lang").filter(level.spanish(F.col("lang")) & (F.col("n_words") >= 60) & F.col("nivel").isNotNull())
+    return new.join(known, "doc_id", "left_anti").select("doc_id", "nivel")
