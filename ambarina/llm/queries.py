@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, level, split
+from . import bpe, level, mix, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -82,3 +82,27 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     known = table(spark, d, "niveles_muestra").select("doc_id").distinct()
     new = _levels(spark, d, "lang").filter(level.spanish(F.col("lang")) & (F.col("n_words") >= 60) & F.col("nivel").isNotNull())
     return new.join(known, "doc_id", "left_anti").select("doc_id", "nivel")
+
+
+# --- 7: mixtures
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sizes = bpe.token_counts(table(spark, d, "documents"), "doc_id", keep=("source",))
+    return mix.mix(sizes, table(spark, d, "mezcla"))
+
+
+@query
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0].select("mezcla_id", "doc_id", "usos")
+
+
+@query
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sources that stay short though every document is used as often as allowed."""
+    return _mix(spark, d)[1].filter("corto and tokens < objetivo").select("mezcla_id", "source").distinct()
