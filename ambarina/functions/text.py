@@ -33,10 +33,10 @@ def semantic_tag(term: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Lower case without accents or surplus blanks, for comparing what was written in several ways."""
-    plain = F.translate(F.lower(F.normalize_nfc(text)) if hasattr(F, "normalize_nfc") else F.lower(text), "áéíóúüñàèìòùâêîôûçäëïö", "aeiouunaeiouaeioucaeio")
-    marks = F.regexp_replace(plain, r"\p{M}", "")
-    return F.trim(F.regexp_replace(marks, r"[\s ]+", " "))
+    """Lower case without accents, invisible characters or surplus blanks, for comparing what was written in several ways."""
+    plain = F.translate(F.lower(text), "áéíóúüñàèìòùâêîôûçäëïö", "aeiouunaeiouaeioucaeio")
+    seen = F.regexp_replace(plain, r"[\p{M}\p{Cf}]", "")
+    return F.trim(F.regexp_replace(seen, r"[\s\u00a0\u2000-\u200a\u202f\u3000]+", " "))
 
 
 def age_years(edad: Column, unidad: Column) -> Column:
