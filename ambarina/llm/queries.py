@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, level, mix, split
+from . import bpe, level, mix, sample, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -106,3 +106,22 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """The sources that stay short though every document is used as often as allowed."""
     return _mix(spark, d)[1].filter("corto and tokens < objetivo").select("mezcla_id", "source").distinct()
+
+
+# --- 2: samples by quota
+
+
+@query
+def p2_sample(spark: SparkSession, d: str) -> DataFrame:
+    signed, wanted, _ = sample.solve(table(spark, d, "casos"), table(spark, d, "cuotas"))
+    return sample.draw(signed, wanted).select("plan_id", "id")
+
+
+@query
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    return sample.solve(table(spark, d, "casos"), table(spark, d, "cuotas"))[2]
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_shares(spark, d).filter("corto").select("plan_id", "categoria").distinct()
