@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, level, mix, sample, split
+from . import bpe, level, mix, sample, split, terms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -125,3 +125,33 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_shares(spark, d).filter("corto").select("plan_id", "categoria").distinct()
+
+
+# --- 1: free values to a canonical list
+
+
+@query
+def p1_resolved(spark: SparkSession, d: str) -> DataFrame:
+    return terms.resolve(table(spark, d, "entradas"), table(spark, d, "terminologia"))
+
+
+@query
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return p1_resolved(spark, d).filter("termino_id is null").select("entrada_id", "veredicto")
+
+
+@query
+def p1_similar(spark: SparkSession, d: str) -> DataFrame:
+    """The most similar name of the list for every distinct name typed: the join alone, without the check."""
+    left = table(spark, d, "entradas").filter("nombre is not null").select(F.col("nombre").alias("l"), F.col("nombre").alias("text")).distinct()
+    right = table(spark, d, "terminologia").select(F.col("termino_id").alias("r"), F.col("nombre").alias("text"))
+    return terms.similarity_join(left, right, 0.3).select(F.col("l").alias("nombre"), F.col("r").alias("termino_id"), "jaccard")
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    entries, listed = table(spark, d, "entradas"), table(spark, d, "terminologia")
+    got = terms.resolve(entries.withColumn("entrada_id", F.struct("entrada_id", "nombre")), listed).filter("termino_id is not null")
+    names = listed.select("termino_id", F.col("nombre").alias("__n"))
+    named = got.select("entrada_id.*", "termino_id").join(names, "termino_id")
+    return named.filter(~F.col("nombre").eqNullSafe(F.col("__n"))).select("entrada_id", "termino_id").distinct()
