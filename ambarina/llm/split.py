@@ -148,12 +148,12 @@ def split_dialogues(turns: DataFrame, limit: int, overlap: int) -> DataFrame:
     """case_id, pieza (from 0), inicio, fin, corte of every dialogue whose turns sum to more than ``limit`` characters.
 
     turns: case_id, seq, texto. A null text counts 0; turns without case or position belong to no dialogue; redelivered turns (same
-    case, position and text) count once. Two texts for one position are both kept, the shorter first.
+    case and position) count once. Of two texts for one position the longer counts.
     """
     if limit - overlap < LEAST_ROOM:
         raise ValueError("the overlap leaves too little room for new text")
     known = turns.filter("case_id is not null and seq is not null")
-    sizes = known.select("case_id", "seq", F.coalesce(F.length("texto"), F.lit(0)).cast("long").alias("n"), F.xxhash64("texto").alias("__h")).distinct()
+    sizes = known.groupBy("case_id", "seq").agg(F.max(F.coalesce(F.length("texto"), F.lit(0))).cast("long").alias("n"))
     totals = sizes.groupBy("case_id").agg(F.sum("n").alias("total")).filter(F.col("total") > limit)
     over = sizes.join(totals, "case_id")
     placed = cut(_offsets(over.select("case_id", "seq", "n", "total")))  # the oversized cases only, without their texts
@@ -176,7 +176,9 @@ def split_dialogues(turns: DataFrame, limit: int, overlap: int) -> DataFrame:
     last = F.ceil((F.col("end") - overlap) / F.col("step") - REACH).cast("long") - 1
     inside = tries.withColumn("__a", F.greatest(first, F.lit(1))).withColumn("__z", F.least(last, F.col("k") - 1)).filter("__a <= __z")
     inside = inside.select("case_id", "seq", "n", "at", "step", "k", F.explode(F.sequence("__a", "__z")).alias("i"))
-    texts = known.select("case_id", "seq", "texto", F.coalesce(F.length("texto"), F.lit(0)).cast("long").alias("n")).filter(F.col("n") > 2 * REACH * LEAST_ROOM)
+    # no step is under half the room of the surest count, so only turns that long can hold a window
+    least = REACH * (limit - overlap - 1) / (1 + 2 * REACH)
+    texts = known.select("case_id", "seq", "texto", F.coalesce(F.length("texto"), F.lit(0)).cast("long").alias("n")).filter(F.col("n") > least)
     wanted = inside.groupBy("case_id", "seq", "n", "at").agg(F.collect_list(F.struct("k", "i", "step")).alias("windows"))
     within = wanted.join(texts, ["case_id", "seq", "n"]).mapInPandas(_look_into(overlap), T.StructType([turns.schema["case_id"], *_fields("k i fin"), T.StructField("corte", T.IntegerType())]))
     within = within.groupBy("case_id", "k", "i").agg(F.max(F.struct("corte", "fin")).alias("m")).select("case_id", "k", "i", "m.fin", "m.corte")
@@ -215,13 +217,14 @@ def piece_texts(turns: DataFrame, pieces: DataFrame) -> DataFrame:
     """The pieces of ``split_dialogues`` with ``texto`` and ``seqs``, the turns they touch. A turn meets a piece on (case, stretch of
     text), both being cut into stretches of fixed length, so no case is gathered anywhere; a piece's own turns are."""
     stretch = 4096
-    known = turns.filter("case_id is not null and seq is not null").select("case_id", "seq", "texto").distinct()
-    known = known.join(pieces.select("case_id").distinct(), "case_id", "left_semi")
-    placed = _offsets(known.select("case_id", "seq", F.coalesce(F.length("texto"), F.lit(0)).cast("long").alias("n")))
+    known = turns.filter("case_id is not null and seq is not null").select("case_id", "seq", "texto")
+    known = known.join(pieces.select("case_id").distinct(), "case_id", "left_semi").groupBy("case_id", "seq").agg(F.max(F.struct(F.coalesce(F.length("texto"), F.lit(0)).cast("long").alias("n"), "texto")).alias("t"))
+    known = known.select("case_id", "seq", "t.n", "t.texto")
+    placed = _offsets(known.select("case_id", "seq", "n"))
     t = placed.filter("n > 0").withColumn("s", F.explode(F.sequence(F.floor(F.col("at") / stretch), F.floor((F.col("at") + F.col("n") - 1) / stretch))))
     p = pieces.withColumn("s", F.explode(F.sequence(F.floor(F.col("inicio") / stretch), F.floor((F.col("fin") - 1) / stretch))))
     met = t.join(p, ["case_id", "s"]).filter("at < fin and at + n > inicio").select("case_id", "pieza", "inicio", "fin", "corte", "seq", "at", "n").distinct()
-    parts = met.join(known.withColumn("n", F.length("texto").cast("long")), ["case_id", "seq", "n"])
+    parts = met.join(known, ["case_id", "seq", "n"])
     begin, end = F.greatest(F.col("inicio") - F.col("at"), F.lit(0)), F.least(F.col("fin") - F.col("at"), F.col("n"))
     text = F.substring("texto", (begin + 1).cast("int"), (end - begin).cast("int"))
     listed = F.sort_array(F.collect_list(F.struct("at", "seq", text.alias("x"))))
