@@ -171,17 +171,25 @@ class Forms:
         own = Counter(g for s in sets for g in s)
         order = sorted(own, key=lambda g: (counts.get(g, 0) + own[g], g))
         self.rank = {g: i for i, g in enumerate(order)}
-        self.sorted = [sorted(self.rank[g] for g in s) for s in sets]
-        self.sets = [frozenset(r) for r in self.sorted]
-        self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for f, r in enumerate(self.sorted):
-            for pos in range(prefix_length(len(r), similar)):
-                self.index[r[pos]].append((f, pos))
+        self.sizes = [len(s) for s in sets]
+        self.longest = max(self.sizes, default=0)
+        self.bits = [sum(1 << self.rank[g] for g in s) for s in sets]
+        # of each trigram: (form, its size, trigrams of it from this one on), for the forms that have it in their prefix
+        self.index: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for f, s in enumerate(sets):
+            ranks = sorted(self.rank[g] for g in s)
+            for pos in range(prefix_length(len(ranks), similar)):
+                self.index[ranks[pos]].append((f, len(ranks), len(ranks) - pos))
         self.vocabulary = {w for ws in self.form_words for w in ws}
         for own_ in (self.vocabulary, *self.languages.values()):
             own_ |= {a for a, b in SAME.items() if b in own_}
-        self.masks = [(w, _mask(w), len(w)) for w in sorted(self.vocabulary)]
-        self.by_language = [[m for m in self.masks if m[0] in ws] for ws in self.languages.values()]
+        self.longest_word = max(map(len, self.vocabulary), default=0)
+        self.most_words = max(map(len, self.form_words), default=0)
+        self.less: dict[str, list[str]] = defaultdict(list)
+        for w in sorted(self.vocabulary):
+            for d in _deletes(w, slips(w + "xxx")):
+                self.less[d].append(w)
+        self.around = lru_cache(200_000)(self._around)
         self.nothing = {p.replace(" ", "") for p in NOTHING}
         self.own_words = self._own_words(words or {})
         self.options = lru_cache(200_000)(self._options)
@@ -199,26 +207,26 @@ class Forms:
         known = sorted(rank[g] for g in found if g in rank)
         unknown = size - len(known)
         t = self.similar
-        seen: dict[int, bool] = {}
-        for at in range(prefix_length(size, t) - unknown):
-            if at >= len(known):
-                break
-            for f, pos in self.index.get(known[at], ()):
-                if f in seen:
-                    continue
-                n = len(self.sorted[f])
-                if n < t * size or n * t > size:
-                    seen[f] = False
-                    continue
-                least = math.ceil(t / (1 + t) * (size + n) - 1e-9)
-                seen[f] = 1 + min(size - unknown - at - 1, n - pos - 1) >= least
-        out, mine = {}, frozenset(known)
-        for f, ok in seen.items():
-            if ok:
-                both = len(mine & self.sets[f])
-                j = both / (size + len(self.sets[f]) - both)
-                if j >= t:
-                    out[f] = j
+        low, high = t * size, size / t
+        least = [math.ceil(t / (1 + t) * (size + n) - 1e-9) for n in range(self.longest + 1)]
+        seen: set[int] = set()
+        passed, index = [], self.index
+        for at in range(min(prefix_length(size, t) - unknown, len(known))):
+            left = len(known) - at
+            for f, n, right in index[known[at]]:
+                if f not in seen:
+                    seen.add(f)
+                    if low <= n <= high and left >= least[n] and right >= least[n]:
+                        passed.append(f)
+        mine = 0
+        for r in known:
+            mine |= 1 << r
+        out = {}
+        for f in passed:
+            both = (mine & self.bits[f]).bit_count()
+            j = both / (size + self.sizes[f] - both)
+            if j >= t:
+                out[f] = j
         return out
 
     # --- the check
@@ -227,30 +235,38 @@ class Forms:
         out = set()
         for w, n in words.items():
             if n >= OFTEN and w not in self.vocabulary and len(w) > 3 and not self._joined(w, strict=True):
-                most = max((words.get(v, 0) for v, m, size in self.masks if abs(size - len(w)) <= 3 and distance(w, v, 3) <= slips(max(w, v, key=len))), default=0)
-                if n >= SHARE * most:
+                if n >= SHARE * max((words.get(v, 0) for v, _ in self.around(w)), default=0):
                     out.add(w)
         return frozenset(out)
 
+    def _around(self, word: str) -> tuple[tuple[str, int], ...]:
+        """(list word, edits) of all list words within what the longer of the two allows. Words so near share one with letters left out."""
+        if len(word) > self.longest_word + 3:
+            return ()
+        found = {v for d in _deletes(word, slips(word + "xxx")) for v in self.less.get(d, ())}
+        out = []
+        for v in sorted(found):
+            most = slips(max(word, v, key=len))
+            if (d := distance(word, v, most)) <= most:
+                out.append((v, d))
+        return tuple(out)
+
     def _near(self, word: str, most: int) -> list[tuple[str, int]]:
         """The nearest words of each language of the list within ``most`` edits, and within what the longer of the two allows."""
-        return list(dict.fromkeys(x for masks in self.by_language for x in self._nearest(word, most, masks)))
-
-    def _nearest(self, word: str, most: int, masks: list[tuple[str, int, int]]) -> list[tuple[str, int]]:
-        m, n, best, out = _mask(word), len(word), most, []
-        for v, mask, size in masks:
-            if abs(size - n) <= best and (m ^ mask).bit_count() <= 2 * best:
-                d = distance(word, v, min(best, slips(word if n > size else v)))
-                if d > slips(word if n > size else v):
-                    continue
-                if d < best:
-                    best, out = d, [(v, d)]
-                elif d == best:
-                    out.append((v, d))
-        return [x for x in out if x[1] == best]
+        around = [x for x in self.around(word) if x[1] <= most]
+        if not around:
+            return []
+        out: dict[tuple[str, int], None] = {}
+        for ws in self.languages.values():
+            own = [x for x in around if x[0] in ws]
+            best = min((d for _, d in own), default=0)
+            out.update((x, None) for x in own if x[1] == best)
+        return list(out)
 
     def _joined(self, word: str, strict: bool = False) -> list[tuple[tuple[str, ...], float]]:
         """Readings of a word as two written together, stop words dropped."""
+        if len(word) > 2 * self.longest_word + 6:
+            return []
         best, out = 99.0, []
         for i in range(2, len(word) - 1):
             a, b = word[:i], word[i:]
@@ -275,7 +291,7 @@ class Forms:
         w = t.word
         shorts = [((v,), 0.25) for v in self.vocabulary if v.startswith(w) and len(v) > len(w)] if t.short and len(w) >= 2 else []
         if w in self.vocabulary:
-            twins = [((v,), 1.0) for v, m, size in self.masks if abs(size - len(w)) <= 1 and v != w and len(w) > 3 and distance(w, v, 1) == 1 and not other_word(w, v)]
+            twins = [((v,), 1.0) for v, d in self.around(w) if d == 1 and not other_word(w, v)]
             foreign = [((v,), float(d)) for v, d in self._near(w, 2) if 0 < d and not other_word(w, v)]
             return list(dict.fromkeys([((w,), 0.0), *shorts, *twins, *foreign]))
         if w in self.own_words and not shorts:
@@ -328,6 +344,8 @@ class Forms:
         hit = self.exact.get("".join(sorted(SAME.get(x.word, x.word) for x in typed)))
         if hit:
             return ("uno" if len(hit) == 1 else "varios"), tuple(sorted(hit))
+        if sum(len(x.word) > 4 for x in typed) > self.most_words:
+            return "fuera", ()  # every such word would have to be one of the form
         similar = self.candidates(grams(typed))
         readings, tail, odd = [], None, None
         for i, x in enumerate(typed):
@@ -384,11 +402,13 @@ class Forms:
         return "fuera", ()
 
 
-def _mask(word: str) -> int:
-    m = 0
-    for c in word:
-        m |= 1 << (ord(c) & 63)
-    return m
+def _deletes(word: str, most: int) -> set[str]:
+    """The word with up to ``most`` letters left out."""
+    out = level_ = {word}
+    for _ in range(min(most, len(word) - 1)):
+        level_ = {w[:i] + w[i + 1 :] for w in level_ for i in range(len(w))}
+        out = out | level_
+    return out
 
 
 # ------------------------------------------------------------------------------------------------ rows
