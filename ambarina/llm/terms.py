@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 from .bpe import spread
 from .level import mended
 
@@ -104,7 +105,7 @@ def other_word(word: str, known: str) -> bool:
         if word.startswith(a) and len(word) - len(a) >= 4:
             stem = word[len(a) :]
             for b in ("", *BEGINNINGS):
-                if b != a and known.startswith(b) and len(known) - len(b) >= 4 and distance(stem, known[len(b) :], 1) <= 1 and stem[:2] == known[len(b) :][:2]:
+                if distance(a, b, 2) >= 2 and known.startswith(b) and len(known) - len(b) >= 4 and distance(stem, known[len(b) :], 1) <= 1 and stem[:2] == known[len(b) :][:2]:
                     return True
     return False
 
@@ -508,18 +509,12 @@ def corpus_counts(entries: DataFrame, columns: tuple[str, ...]) -> tuple[dict[st
         return pd.DataFrame([(k, w, *n) for (k, w), n in c.items()], columns=["kind", "w", "n_rows", "n_texts"])
 
     sums = texts.mapInPandas(count, "kind string, w string, n_rows long, n_texts long").groupBy("kind", "w").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_texts").alias("n_texts"))
-    total = F.max(F.when(F.col("kind") == "n", F.col("n_texts"))).over(_everything())
-    common = sums.filter(((F.col("n_rows") >= OFTEN) & (F.col("n_texts") >= TEXTS)) | (F.col("kind") == "n"))
-    kept = common.withColumn("total", total).filter("kind <> 'n' and n_texts >= total * 0.00001").collect()
+    common = cut(sums.filter(((F.col("n_rows") >= OFTEN) & (F.col("n_texts") >= TEXTS)) | (F.col("kind") == "n")))
+    total = (common.filter("kind = 'n'").agg(F.sum("n_texts")).first()[0]) or 0
+    kept = common.filter((F.col("kind") != "n") & (F.col("n_texts") >= total * 0.00001)).collect()
     return {r.w: r.n_texts for r in kept if r.kind == "g"}, {r.w: r.n_rows for r in kept if r.kind == "w"}
 
 
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
-
-
 def resolve(entries: DataFrame, terms: DataFrame, key: str = "entrada_id", similar: float = SIMILAR) -> DataFrame:
     """key, termino_id (null if there is none) and veredicto of every entry, once an entry.
 

@@ -29,6 +29,11 @@ def test_meaning(forms, text, want):
     assert forms.meaning(text) == want
 
 
+def test_slips_at_a_beginning_are_slips():
+    assert not T.other_word("difuncion", "disfuncion") and not T.other_word("dissplasia", "displasia") and not T.other_word("hyperplasia", "hiperplasia")
+    assert T.other_word("hipoplasia", "hiperplasia") and T.other_word("subluxacion", "luxacion") and T.other_word("externo", "interno")
+
+
 def test_common_words_are_their_own():
     entries = [(1, "A00.0", [("es", "hernia del paladar")])]
     assert T.Forms(entries).meaning("Herniola del paladar")[0] == "uno"
