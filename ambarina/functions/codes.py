@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 #: The shapes of codes, and the length of an ATC code by level.
 SHAPES = {"cie10": r"^[A-Z][0-9]{2}(\.[0-9A-Z]{1,2})?$", "snomed_ct": r"^[1-9][0-9]{5,17}$", "atc": r"^[A-Z]([0-9]{2}([A-Z]([A-Z]([0-9]{2})?)?)?)?$"}
 ATC_LEVELS = {1: 1, 3: 2, 4: 3, 5: 4, 7: 5}
-ARROW = r"([A-Z]{0,4} ?[A-Z]?[0-9][0-9A-Z.]*|[A-Z][0-9][0-9A-Z.]*)\s*→\s*([A-Z]?[0-9][0-9A-Z.]*|[A-Z][0-9][0-9A-Z.]*)"
+_CODE = r"((?:[A-Z]{2,5} )?[A-Z]?[0-9][0-9A-Z.]*)"
+ARROW = _CODE + r"\s*→\s*" + _CODE
 
 
 def real(code: Column) -> Column:
@@ -34,6 +35,6 @@ def atc_level(atc: Column) -> Column:
 
 def corrections(text: Column) -> Column:
     """[{old, new}] of the arrows between two codes in a correction; prose around an arrow is no pair."""
-    old = F.transform(F.regexp_extract_all(text, F.lit(ARROW), 1), lambda x: F.regexp_replace(x, r"^[A-Z]+ ", ""))
-    new = F.regexp_extract_all(text, F.lit(ARROW), 2)
-    return F.transform(F.arrays_zip(old.alias("old"), new.alias("new")), lambda p: F.struct(p["old"].alias("old"), F.regexp_replace(p["new"], r"\.$", "").alias("new")))
+    bare = lambda x: F.regexp_replace(x, r"^[A-Z]+ |\.$", "")
+    old, new = F.regexp_extract_all(text, F.lit(ARROW), 1), F.regexp_extract_all(text, F.lit(ARROW), 2)
+    return F.transform(F.arrays_zip(old.alias("old"), new.alias("new")), lambda p: F.struct(bare(p["old"]).alias("old"), bare(p["new"]).alias("new")))

@@ -32,36 +32,38 @@ def chunk_numbers(lengths: Column, budget: int = BUDGET) -> Column:
     return F.when(F.size(lengths) > 0, F.aggregate(lengths, state, step)["o"]).otherwise(F.array().cast("array<int>"))
 
 
-def pack(turns: DataFrame, order: str = "seq", size: str = "n_chars", budget: int = BUDGET, key: str = "case_id") -> DataFrame:
-    """key, order and chunk_no for every turn (key, order, size).
+def pack(turns: DataFrame, order: str = "seq", size: str = "n_chars", budget: int = BUDGET, key: str = "case_id", limit: int | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """key, order, size and chunk_no for every turn (key, order, size); with ``limit``, cases whose sizes sum to no more stay one chunk.
 
     Cases of up to ``FOLD_TURNS`` turns are folded inside the JVM; longer ones (a single case may hold a third of all rows) go
-    through a sorted, spillable stream in which only the running sum is kept. Both give the same numbers.
+    through a sorted, spillable stream in which only the running sum is kept. Both give the same numbers. ``counted`` (key, n_turns,
+    n_chars) saves counting; cases that it lacks are left out.
     """
-    n = turns.groupBy(key).agg(F.count("*").alias("__n"))
-    sized = turns.select(key, order, F.col(size).cast("long").alias("__size")).join(n, key)
+    n = counted if counted is not None else turns.groupBy(key).agg(F.count("*").alias("n_turns"), F.sum(F.col(size).cast("long")).alias("n_chars"))
+    sized = turns.select(key, order, F.col(size).cast("long").alias("__size")).join(n.select(key, F.col("n_turns").alias("__n"), (F.col("n_chars") > (-1 if limit is None else limit)).alias("__over")), key)
     short, long = sized.filter(F.col("__n") <= FOLD_TURNS), sized.filter(F.col("__n") > FOLD_TURNS)
-    rows = short.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, "__size"))).alias("__t"))
-    numbered = rows.select(key, F.explode(F.arrays_zip(F.col("__t")[order].alias("o"), chunk_numbers(F.col("__t")["__size"], budget).alias("c"))).alias("__z"))
-    folded = numbered.select(key, F.col("__z")["o"].alias(order), F.col("__z")["c"].alias("chunk_no"))
-    return folded.unionByName(_streamed(long.drop("__n"), key, order, budget))
+    rows = short.groupBy(key, "__over").agg(F.sort_array(F.collect_list(F.struct(order, "__size"))).alias("__t"))
+    numbers = F.when(F.col("__over"), chunk_numbers(F.col("__t")["__size"], budget)).otherwise(F.transform("__t", lambda t: F.lit(0)))
+    numbered = rows.select(key, F.explode(F.arrays_zip(F.col("__t")[order].alias("o"), F.col("__t")["__size"].alias("n"), numbers.alias("c"))).alias("__z"))
+    folded = numbered.select(key, F.col("__z")["o"].alias(order), F.col("__z")["n"].alias(size), F.col("__z")["c"].alias("chunk_no"))
+    return folded.unionByName(_streamed(long.drop("__n"), key, order, size, budget))
 
 
-def _streamed(turns: DataFrame, key: str, order: str, budget: int) -> DataFrame:
-    schema = T.StructType([turns.schema[key], turns.schema[order], T.StructField("chunk_no", T.IntegerType())])
+def _streamed(turns: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
+    schema = T.StructType([turns.schema[key], turns.schema[order], T.StructField(size, T.LongType()), T.StructField("chunk_no", T.IntegerType())])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         case, c, s, filled = None, 0, 0, False
         for pdf in batches:
             out = []
-            for k, n in zip(pdf[key], pdf["__size"].fillna(0)):
+            for k, n, over in zip(pdf[key], pdf["__size"].fillna(0), pdf["__over"]):
                 if k != case:
                     case, c, s, filled = k, 0, 0, False
-                if filled and s + n > budget:
+                if over and filled and s + n > budget:
                     c, s = c + 1, 0
                 s, filled = s + n, True
                 out.append(c)
-            yield pdf[[key, order]].assign(chunk_no=pd.array(out, dtype="int32"))
+            yield pd.DataFrame({key: pdf[key], order: pdf[order], size: pdf["__size"], "chunk_no": pd.array(out, dtype="int32")})
 
     return turns.repartition(key).sortWithinPartitions(key, order).mapInPandas(fold, schema)
 
@@ -72,15 +74,11 @@ def route(measures: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def plan_chunks(turns: DataFrame, plannable: DataFrame, limit: int = LIMIT, budget: int = BUDGET) -> DataFrame:
-    """case_id, seq, chunk_no of all turns of plannable cases (case_id, n_chars): one chunk up to the limit, packed beyond it."""
+    """case_id, seq, n_chars, chunk_no of all turns of plannable cases (case_id, n_turns, n_chars): one chunk up to the limit, packed beyond it."""
     own = turns.select("case_id", "seq", F.length("texto").cast("long").alias("n_chars"))
-    over = plannable.filter(F.col("n_chars") > limit).select("case_id")
-    under = plannable.filter(F.col("n_chars") <= limit).select("case_id")
-    single = own.join(under, "case_id", "left_semi").select("case_id", "seq", F.lit(0).alias("chunk_no"))
-    return single.unionByName(pack(own.join(over, "case_id", "left_semi"), budget=budget))
+    return pack(own, budget=budget, limit=limit, counted=plannable)
 
 
-def chunk_sizes(turns: DataFrame, chunks: DataFrame) -> DataFrame:
-    """n_turns and n_chars of each chunk."""
-    own = turns.select("case_id", "seq", F.length("texto").cast("long").alias("__n"))
-    return own.join(chunks, ["case_id", "seq"]).groupBy("case_id", "chunk_no").agg(F.count("*").alias("n_turns"), F.sum("__n").alias("n_chars"))
+def chunk_sizes(chunks: DataFrame, key: str = "case_id") -> DataFrame:
+    """n_turns and n_chars of each chunk of ``plan_chunks`` or ``pack``."""
+    return chunks.groupBy(key, "chunk_no").agg(F.count("*").alias("n_turns"), F.sum("n_chars").alias("n_chars"))

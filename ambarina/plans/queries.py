@@ -103,14 +103,14 @@ def _normal(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     Under the exact lookup most cases of these tables fail on a role's spelling; ``case_status`` reports that.
     """
     t = turns(spark, d, "rol", "texto").withColumn("rol", D.canonical_rol("rol")).filter("rol in ('medico', 'paciente') and texto is not null")
-    m = t.groupBy("case_id").agg(F.sum(F.length("texto").cast("long")).alias("n_chars"))
+    m = t.groupBy("case_id").agg(F.count("*").alias("n_turns"), F.sum(F.length("texto").cast("long")).alias("n_chars"))
     return t, m
 
 
 @query
 def chunk_pack_dialogue(spark: SparkSession, d: str) -> DataFrame:
     t, m = _normal(spark, d)
-    return P.chunk_sizes(t, P.plan_chunks(t, m))
+    return P.chunk_sizes(P.plan_chunks(t, m))
 
 
 @query
@@ -123,8 +123,7 @@ def chunk_count_per_case(spark: SparkSession, d: str) -> DataFrame:
 def chunk_pack_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), F.posexplode(F.split("text", "\n")).alias("seq", "texto"))
     t = lines.withColumn("n_chars", F.length("texto").cast("long"))
-    packed = P.pack(t.select("case_id", "seq", "n_chars"))
-    return packed.join(t, ["case_id", "seq"]).groupBy(F.col("case_id").alias("doc_id"), "chunk_no").agg(F.count("*").alias("n_lines"), F.sum("n_chars").alias("n_chars"))
+    return P.chunk_sizes(P.pack(t.select("case_id", "seq", "n_chars"))).select(F.col("case_id").alias("doc_id"), "chunk_no", F.col("n_turns").alias("n_lines"), "n_chars")
 
 
 @query

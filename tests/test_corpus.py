@@ -1,0 +1,51 @@
+"""Counts over a folder of case documents named by $CASE_CORPUS; skipped where it is not set."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from ambarina.operators import codes as K
+from ambarina.operators import dialogue as D
+from ambarina.operators import packing as P
+from ambarina.operators import status as S
+from ambarina.operators import summary as U
+from ambarina.sources import cases as R
+
+ROOT = os.environ.get("CASE_CORPUS")
+pytestmark = pytest.mark.skipif(not ROOT, reason="CASE_CORPUS is not set")
+
+#: Fixed values, counted over the corpus: (turns, characters) of the chunks of some cases.
+CHUNKS = {"DER-001": [(27, 4390), (7, 1159)], "DER-002": [(26, 4383), (11, 1844)], "NRL-005": [(43, 4499), (4, 518)], "MF-010": [(38, 4480), (6, 651)], "END-005": [(27, 4442), (5, 655)]}
+
+
+@pytest.fixture(scope="module")
+def cases(spark):
+    return R.one_row_a_file(R.read_cases(spark, ROOT)).cache()
+
+
+def test_counts(cases):
+    turns = D.turns_of(cases)
+    t = U.totals(cases, turns).first()
+    assert (t.n_cases, t.n_especialidades, t.n_turns, t.n_chars) == (76, 9, 2776, 344086)
+    assert {r.rol: r["count"] for r in turns.groupBy("rol").count().collect()} == {"medico": 1512, "paciente": 1249, "padre": 15}
+    assert {r.fase: r["count"] for r in turns.groupBy("fase").count().collect()} == {"motivo_consulta": 478, "anamnesis": 690, "exploracion": 514, "impresion_diagnostica": 348, "plan_despedida": 746}
+    assert {r.system: (r.n_codes, r.n_occurrences) for r in K.distinct_codes(K.codes_of(cases)).collect()} == {"cie10": (231, 411), "snomed_ct": (510, 815), "atc": (88, 128)}
+    assert {r.especialidad: (r.total, r.raras) for r in U.by_specialty(cases).collect()}["Pediatría"] == (10, 2)
+    assert cases.filter("_corrupt_record is not null").count() == 0
+
+
+def test_status_and_requests(cases):
+    status = S.nested_status(cases)
+    assert {r.status: r.n_cases for r in S.rollup(status).collect()} == {"success": 75, "failed": 1}
+    turns = D.turns_of(cases).join(status.filter("status = 'success'").select("case_id"), "case_id")
+    m = turns.groupBy("case_id").agg(F.count("*").alias("n_turns"), F.sum(F.length("texto").cast("long")).alias("n_chars"))
+    sizes = P.chunk_sizes(P.plan_chunks(turns, m))
+    assert sizes.count() == 95 and m.filter("n_chars > 5000").count() == 20
+    got = {c: [(r.n_turns, r.n_chars) for r in sizes.filter(F.col("case_id") == c).orderBy("chunk_no").collect()] for c in CHUNKS}
+    assert got == CHUNKS
+
+
+def test_corrections(cases):
+    texts = cases.select(F.explode("validacion.correcciones_aplicadas"))
+    assert texts.count() == 19 and K.corrections_of(cases).count() == 19
