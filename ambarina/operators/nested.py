@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import spread
+
 ROOT = "caso"
 #: Children of one element type beyond which its keys are taken for data (an open map), not for element types.
 OPEN_KEYS = 300
@@ -174,7 +176,7 @@ def schema_graph(records: DataFrame, column: str, shape: Shape = Shape(), open_k
     def _frame(counts: dict) -> pd.DataFrame:
         return pd.DataFrame([(p, c, *n) for (p, c), n in counts.items()], columns=["parent", "child", "n", "n_repeated", "n_objects"])
 
-    part = records.select(column).mapInPandas(count, "parent string, child string, n long, n_repeated long, n_objects long")
+    part = spread(records.select(column), column).mapInPandas(count, "parent string, child string, n long, n_repeated long, n_objects long")
     edges = part.groupBy("parent", "child").agg(*(F.sum(c).alias(c) for c in ("n", "n_repeated", "n_objects")))
     degree = edges.groupBy("parent").agg(F.count("*").alias("__d"))
     child = F.when(F.col("__d") > open_keys, F.lit("*")).otherwise(F.col("child"))
@@ -261,7 +263,7 @@ def shred(records: DataFrame, column: str, key: str, plan: Plan, shape: Shape =
                     out.append((*row, _values(element, plan.inlined[lista])) if values else row)
             yield pd.DataFrame(out, columns=names)
 
-    return records.select(key, column).mapInPandas(run, schema)
+    return spread(records.select(key, column), key).mapInPandas(run, schema)
 
 
 def _values(element: Any, paths: tuple[tuple[str, tuple[str, ...]], ...]) -> dict[str, str]:

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import spread
+
 #: How units are spelled, after ``normal`` (lower case, no accents, no dots after letters). Symbols of the units table count too; ``_`` stands for a blank, which may be missing.
 SPELLINGS = {
     "kg": "kg kgs kilo kilos kilogramo kilogramos",
@@ -199,7 +201,7 @@ def read_vitals(vitals: DataFrame, units: DataFrame) -> DataFrame:
                 out.append((key, kind, kinds[kind], value, said, source if said else "ninguna"))
             yield pd.DataFrame(out, columns=schema.names)
 
-    return v.mapInPandas(run, schema).distinct()
+    return spread(v, "lectura_id").mapInPandas(run, schema).distinct()
 
 
 def read_doses(doses: DataFrame, units: DataFrame) -> DataFrame:
@@ -243,7 +245,7 @@ def read_doses(doses: DataFrame, units: DataFrame) -> DataFrame:
                     out.append((key, magnitude.get(unit, DOSES[0]), low, high, unit, source if unit else "ninguna"))
             yield pd.DataFrame(out, columns=schema.names)
 
-    return doses.select("medicacion_id", "dosis", "posologia").mapInPandas(run, schema).distinct()
+    return spread(doses.select("medicacion_id", "dosis", "posologia"), "medicacion_id").mapInPandas(run, schema).distinct()
 
 
 # ---------------------------------------------------------------------------------------------- the mixture

@@ -29,3 +29,14 @@ def first_delivery(df: DataFrame, keys: list[str], when: str = "recibido_en", co
 def without_redelivery(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Distinct rows of ``keys`` and ``columns``: enough where redelivered rows repeat the content, and a plain hash aggregate."""
     return df.select(*(F.col(f"`{c}`") for c in [*keys, *columns])).distinct()
+
+
+def spread(df: DataFrame, key: str, least: int | None = None) -> DataFrame:
+    """A scan over at least as many tasks as there are cores: for work that costs far more than reading its rows.
+
+    A table in fewer splits than that is small, and shuffled for it; large tables and results of shuffles stay as they are.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = least or df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * 2, F.col(f"`{key}`"))
