@@ -13,7 +13,15 @@ def totals(cases: DataFrame, turns: DataFrame) -> DataFrame:
     """One row: cases, specialties as written, turns, characters."""
     c = cases.agg(F.count("*").alias("n_cases"), F.countDistinct("especialidad").alias("n_especialidades"))
     t = turns.agg(F.count("*").alias("n_turns"), F.coalesce(F.sum(F.length("texto").cast("long")), F.lit(0)).cast("long").alias("n_chars"))
-    return c.crossJoin(F.broadcast(t))  # one row on either side
+    return side_by_side(c, t)
+
+
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """The columns of several one-row tables as one row, without a join."""
+    whole = rows[0]
+    for r in rows[1:]:
+        whole = whole.unionByName(r, allowMissingColumns=True)
+    return whole.agg(*(F.first(c, ignorenulls=True).alias(c) for c in whole.columns))
 
 
 def by_specialty(cases: DataFrame) -> DataFrame:
@@ -38,7 +46,7 @@ def summary_document(cases: DataFrame, turns: DataFrame, codes: DataFrame) -> Da
     t = totals(cases, turns)
     s = by_specialty(cases).filter("especialidad is not null").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("especialidad", F.struct("total", "comunes", "raras").alias("v"))))).alias("especialidades"))
     k = distinct_codes(codes).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("system", "n_codes")))).alias("k"))
-    one = t.crossJoin(F.broadcast(s)).crossJoin(F.broadcast(k))  # single rows
+    one = side_by_side(t, s, k)
     doc = F.struct(
         F.col("n_cases").alias("total_transcripciones"),
         F.col("n_especialidades").alias("total_especialidades"),
