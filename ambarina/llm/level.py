@@ -92,7 +92,7 @@ def labelled_texts(documents: DataFrame, known: DataFrame, key: str = "doc_id",
     """At most ``most`` texts with their level. Two levels for one document both count, as do copies under other ids."""
     k = known.filter(F.col(key).isNotNull() & F.col(level).isNotNull()).select(key, level).distinct()
     k = k.orderBy(F.xxhash64(key), level).limit(most)
-    rows = documents.filter(F.col(text).isNotNull()).select(key, text).join(k, key).select(text, level).collect()
+    rows = documents.filter(F.col(text).isNotNull()).select(key, text).join(F.broadcast(k), key).select(text, level).collect()  # k has at most ``most`` rows
     return [tuple(r) for r in rows]
 
 
@@ -108,7 +108,8 @@ def seeds(documents: DataFrame, key: str = "doc_id", text: str = "text", most: i
     """At most ``most`` texts with a level by formula, to train on where no level is known. Bounds of the INFLESZ scale."""
     p = perspicuity(F.col(text))
     lv = F.when(p > 80, 1).when(p > 65, 2).when(p > 40, 3).otherwise(4)
-    rows = documents.filter(p.isNotNull()).select(F.xxhash64(key).alias("h"), key).orderBy("h", key).limit(most).join(documents, key).select(text, lv.alias("l")).collect()
+    picked = documents.filter(p.isNotNull()).select(F.xxhash64(key).alias("h"), key).orderBy("h", key).limit(most).select(key)
+    rows = documents.join(F.broadcast(picked), key).select(text, lv.alias("l")).collect()  # at most ``most`` rows
     return [tuple(r) for r in rows]
 
 
