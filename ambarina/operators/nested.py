@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 from ..sources.tables import spread
 
 ROOT = "caso"
@@ -177,7 +178,7 @@ def schema_graph(records: DataFrame, column: str, shape: Shape = Shape(), open_k
         return pd.DataFrame([(p, c, *n) for (p, c), n in counts.items()], columns=["parent", "child", "n", "n_repeated", "n_objects"])
 
     part = spread(records.select(column), column).mapInPandas(count, "parent string, child string, n long, n_repeated long, n_objects long")
-    edges = part.groupBy("parent", "child").agg(*(F.sum(c).alias(c) for c in ("n", "n_repeated", "n_objects")))
+    edges = cut(part.groupBy("parent", "child").agg(*(F.sum(c).alias(c) for c in ("n", "n_repeated", "n_objects"))))  # used twice, made once
     degree = edges.groupBy("parent").agg(F.count("*").alias("__d"))
     child = F.when(F.col("__d") > open_keys, F.lit("*")).otherwise(F.col("child"))
     return edges.join(degree, "parent").withColumn("child", child).groupBy("parent", "child").agg(*(F.sum(c).alias(c) for c in ("n", "n_repeated", "n_objects")))
