@@ -88,8 +88,11 @@ _SIGNS = (("℃", "°c"), ("℉", "°f"), ("½", " 1/2 "), ("¼", " 1/4 "), ("¾
 
 def normal(text: str | None) -> str:
     """Lower case without accents, dots after letters or surplus blanks; null is the empty text."""
-    if text is None or text != text:
-        return ""
+    return "" if text is None or text != text else _normal(text)
+
+
+@lru_cache(100_000)
+def _normal(text: str) -> str:
     t = text.lower()
     for a, b in _SIGNS:
         t = t.replace(a, b)
@@ -188,8 +191,12 @@ def read_vitals(vitals: DataFrame, units: DataFrame) -> DataFrame:
             for key, kind, value, unit, unit2, text in pdf.itertuples(index=False):
                 r = readers[kinds[kind]]
                 said, source = r.unit(normal(unit)) or r.unit(normal(unit2)), "columna"
+                missing = value is None or value != value
+                if said and not missing:
+                    out.append((key, kind, kinds[kind], value, said, source))
+                    continue
                 plain = _ASIDE.sub(" ", normal(text))
-                if value != value or value is None:
+                if missing:
                     value, _, u = r.find(plain)
                     if value is None:
                         value, u = r.first(plain), None
