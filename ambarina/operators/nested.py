@@ -281,7 +281,7 @@ def _values(element: Any, paths: tuple[tuple[str, tuple[str, ...]], ...]) -> dic
 def flat_table(rows: DataFrame, plan: Plan, lista: str, key: str) -> DataFrame:
     """One relation of ``shred``: its foreign key and a column for each inlined scalar. Names that clash with the key's get ``_``."""
     taken = {key, "padre_lista", "padre_pos", "pos"}
-    columns = [*(c for c, _ in plan.inlined[lista]), "valor"]
+    columns = [*(c for c, _ in plan.inlined.get(lista, ())), "valor"]  # a list no record has is an empty table
     names = {c: (c + "_" if c in taken else c) for c in dict.fromkeys(columns)}
     return rows.filter(F.col("lista") == lista).select(key, "padre_lista", "padre_pos", "pos", *(F.col("valor")[c].alias(n) for c, n in names.items()))
 
