@@ -22,7 +22,8 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def _limits(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
-    return split.limits(table(spark, d, "limites"))
+    """The limits by kind of item; a kind without one is not cut."""
+    return {"dialogo": split.NO_LIMIT, "turno": split.NO_LIMIT} | split.limits(table(spark, d, "limites"))
 
 
 @query

@@ -30,6 +30,8 @@ from ..session import cut
 CHAR, WORD, SENTENCE, LINE, TURN = range(5)
 #: A target's window, in steps to either side.
 REACH = 0.2
+#: A limit no text reaches, without overlap.
+NO_LIMIT = (2**31 - 2, 0)
 #: The least room for new text in a piece.
 LEAST_ROOM = 16
 #: Turns in a block of the prefix sums.
