@@ -32,6 +32,13 @@ def codes_of(cases: DataFrame, key: str = "id") -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def codes_of_items(items: DataFrame, systems: tuple[str, ...]) -> DataFrame:
+    """The same relation of items that are rows of a table: case_id, kind, idx, nombre, snomed_termino and a column a system."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(s).alias("system"), F.col(s).alias("code")) for s in systems)))
+    one = items.select("case_id", "kind", "idx", "nombre", F.col("snomed_termino").alias("term"), pairs.alias("__c"))
+    return one.select("case_id", "kind", "idx", "nombre", "__c.system", "__c.code", "term").filter("code is not null")
+
+
 def distinct_codes(codes: DataFrame) -> DataFrame:
     """Distinct codes and occurrences by system, over all lists."""
     return codes.groupBy("system").agg(F.countDistinct("code").alias("n_codes"), F.count("*").alias("n_occurrences"))

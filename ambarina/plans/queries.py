@@ -205,6 +205,35 @@ def ambiguous_codes(spark: SparkSession, d: str) -> DataFrame:
     return K.ambiguous_codes(_codes(spark, d))
 
 
+def _codes_all_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of all five lists: those of the cases, and of the items in ``entradas`` and ``medicaciones``, each item once."""
+    item = ["case_id", "idx", "nombre", "snomed_ct", "snomed_termino", "recibido_en"]
+    e = table(spark, d, "entradas").filter(F.col("lista").isin("diagnosticos_secundarios", "sintomas"))
+    e = first_delivery(e.select("entrada_id", "lista", "cie10", *item), ["entrada_id"]).withColumnRenamed("lista", "kind")
+    m = first_delivery(table(spark, d, "medicaciones").select("medicacion_id", "atc", *item), ["medicacion_id"]).withColumn("kind", F.lit("medicamentos"))
+    return _codes(spark, d).unionByName(K.codes_of_items(e, K.LISTS["sintomas"])).unionByName(K.codes_of_items(m, K.LISTS["medicamentos"]))
+
+
+@query
+def codes_relation_all_lists(spark: SparkSession, d: str) -> DataFrame:
+    return _codes_all_lists(spark, d)
+
+
+@query
+def distinct_codes_by_system_all_lists(spark: SparkSession, d: str) -> DataFrame:
+    return K.distinct_codes(_codes_all_lists(spark, d))
+
+
+@query
+def code_frequency_all_lists(spark: SparkSession, d: str) -> DataFrame:
+    return K.code_dimension(_codes_all_lists(spark, d))
+
+
+@query
+def ambiguous_codes_all_lists(spark: SparkSession, d: str) -> DataFrame:
+    return K.ambiguous_codes(_codes_all_lists(spark, d))
+
+
 @query
 def code_shape_check(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "entradas").select("entrada_id", "cie10", "snomed_ct").distinct()
@@ -309,6 +338,11 @@ def summary_document(spark: SparkSession, d: str) -> DataFrame:
     return U.summary_document(c, turns(spark, d, "texto"), K.codes_of(c))
 
 
+@query
+def summary_document_all_lists(spark: SparkSession, d: str) -> DataFrame:
+    return U.summary_document(cases(spark, d, "especialidad", "diagnostico_principal"), turns(spark, d, "texto"), _codes_all_lists(spark, d))
+
+
 @query
 def centre_load(spark: SparkSession, d: str) -> DataFrame:
     """Turns and characters by centre (the skewed key), with the centre's name; the hot centre is pre-aggregated before its shuffle."""
