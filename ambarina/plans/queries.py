@@ -15,6 +15,7 @@ from ..operators import manifest as M
 from ..operators import packing as P
 from ..operators import status as S
 from ..operators import summary as U
+from ..operators import units as V
 from ..sources.tables import first_delivery, table, without_redelivery
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -318,6 +319,20 @@ def body_mass_index(spark: SparkSession, d: str) -> DataFrame:
     return first.filter("peso is not null and talla is not null").select("case_id", F.bround(X.bmi(F.col("peso"), F.col("talla")), 3).alias("imc"))
 
 
+@query
+def body_mass_index_all_units(spark: SparkSession, d: str) -> DataFrame:
+    """From peso and talla in the common units (kg, cm), however they are written; of each the first reading by lectura_id.
+
+    Amounts that are not positive are no readings. ``incierto``: the unit of either reading is uncertain.
+    """
+    c = table(spark, d, "constantes").filter("nombre in ('peso', 'talla')")
+    read = V.vitals_in_common_units(c, table(spark, d, "unidades")).filter("comun > 0")
+    v = read.join(c.select("lectura_id", "case_id").distinct(), "lectura_id")
+    first = v.groupBy("case_id").pivot("clase", ["peso", "talla"]).agg(F.min_by(F.struct("comun", "incierto"), "lectura_id"))
+    both = first.filter("peso is not null and talla is not null")
+    return both.select("case_id", F.bround(X.bmi(F.col("peso.comun"), F.col("talla.comun")), 3).alias("imc"), (F.col("peso.incierto") | F.col("talla.incierto")).alias("incierto"))
+
+
 @query
 def pressure_names_joined(spark: SparkSession, d: str) -> DataFrame:
     """Readings under one name for each pressure, whichever of the two names was used."""
