@@ -39,16 +39,18 @@ def nested_status(cases: DataFrame) -> DataFrame:
     return cases.select(*keep, reason.alias("reason")).withColumn("status", F.when(F.col("reason").isNull(), OK).otherwise(FAILED))
 
 
-def flat_status(cases: DataFrame, turns: DataFrame, key: str = "id") -> DataFrame:
+def flat_status(cases: DataFrame, turns: DataFrame, key: str = "id", size: Column | None = None) -> DataFrame:
     """case_id, n_turns, n_chars, status, reason where cases and turns are tables.
 
     A case without turns is plannable with 0 turns; a turn whose case is not in ``cases`` fails as "no case". One shuffle on the case.
+    ``size`` is the length of the text (null where there is none) of turns that come without it.
     """
+    size = F.length("texto").cast("long") if size is None else size
     per_case = turns.groupBy("case_id").agg(
         F.count("*").alias("n_turns"),
-        F.coalesce(F.sum(F.length("texto").cast("long")), F.lit(0).cast("long")).alias("n_chars"),
+        F.coalesce(F.sum(size), F.lit(0).cast("long")).alias("n_chars"),
         F.bool_or(F.col("rol").isNull()).alias("__no_rol"),
-        F.bool_or(F.col("texto").isNull()).alias("__no_texto"),
+        F.bool_or(size.isNull()).alias("__no_texto"),
         F.bool_or(~F.col("rol").isin(*VOICE_KEYS)).alias("__no_voice"),
     )
     head = cases.select(

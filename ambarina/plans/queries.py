@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
@@ -120,6 +120,39 @@ def chunk_count_per_case(spark: SparkSession, d: str) -> DataFrame:
     return P.plan_chunks(t, m).groupBy("case_id").agg((F.max("chunk_no") + 1).cast("long").alias("n_chunks"))
 
 
+def _read_rol() -> Column:
+    """The canonical role; one that has none stays as written, and so has no voice."""
+    return F.coalesce(D.canonical_rol("rol"), F.col("rol"))
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """All turns with the length of their text in place of it: what status and packing need of them."""
+    t = table(spark, d, "turnos").withColumn("n_chars", F.length("texto").cast("long"))
+    return without_redelivery(t, ["case_id", "seq"], ["rol", "n_chars"]).withColumn("rol", _read_rol())
+
+
+@query
+def case_status_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Which cases the ``*_whole`` queries plan, and why the others fail."""
+    return S.flat_status(cases(spark, d, "audio_file", "diagnostico_principal", "voces"), _sizes(spark, d), size=F.col("n_chars"))
+
+
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of all turns of the cases that can be voiced whole under the canonical role."""
+    plannable = case_status_canonical(spark, d).filter(F.col("status") == S.OK).select("case_id", "n_turns", "n_chars")
+    return P.pack(_sizes(spark, d).select("case_id", "seq", "n_chars"), limit=P.LIMIT, counted=plannable)
+
+
+@query
+def chunk_pack_dialogue_whole(spark: SparkSession, d: str) -> DataFrame:
+    return P.chunk_sizes(_whole(spark, d))
+
+
+@query
+def chunk_count_per_case_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _whole(spark, d).groupBy("case_id").agg((F.max("chunk_no") + 1).cast("long").alias("n_chunks"))
+
+
 @query
 def chunk_pack_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), F.posexplode(F.split("text", "\n")).alias("seq", "texto"))
@@ -145,6 +178,23 @@ def request_manifest(spark: SparkSession, d: str) -> DataFrame:
     return M.requests(D.with_voice(t, cases(spark, d, "voces")), P.plan_chunks(t, m))
 
 
+@query
+def chunk_paths_whole(spark: SparkSession, d: str) -> DataFrame:
+    paths = cases(spark, d, "audio_file").select(F.col("id").alias("case_id"), M.output_path(ROOT).alias("path"))
+    return M.chunk_paths(_whole(spark, d), paths)
+
+
+@query
+def concat_filelist_whole(spark: SparkSession, d: str) -> DataFrame:
+    return M.file_lists(chunk_paths_whole(spark, d))
+
+
+@query
+def request_manifest_whole(spark: SparkSession, d: str) -> DataFrame:
+    t = turns(spark, d, "rol", "texto").withColumn("rol", _read_rol())
+    return M.requests(D.with_voice(t, cases(spark, d, "voces")), _whole(spark, d))
+
+
 @query
 def output_paths(spark: SparkSession, d: str) -> DataFrame:
     p = M.output_path(ROOT)
