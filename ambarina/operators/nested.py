@@ -29,7 +29,8 @@ from ..session import cut
 from ..sources.tables import spread
 
 ROOT = "caso"
-#: Children of one element type beyond which its keys are taken for data (an open map), not for element types.
+#: Children of one element type beyond which its keys are taken for data (an open map), not for element types; those that are lists of
+#: the shape, or one in so many of the keys met there, remain element types.
 OPEN_KEYS = 300
 
 
@@ -161,7 +162,8 @@ def _edges(value: Any, shape: Shape, counts: dict[tuple[str, str], list[int]]) -
 
 
 def schema_graph(records: DataFrame, column: str, shape: Shape = Shape(), open_keys: int = OPEN_KEYS) -> DataFrame:
-    """parent, child, n, n_repeated, n_objects over all records. Children of a parent with more than ``open_keys`` keys are one, ``*``."""
+    """parent, child, n, n_repeated, n_objects over all records. Of a parent with more than ``open_keys`` keys, those are one child,
+    ``*``, that the shape does not name as lists and that are fewer than one in ``open_keys`` of the keys met there."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0])
@@ -179,17 +181,20 @@ def schema_graph(records: DataFrame, column: str, shape: Shape = Shape(), open_k
 
     part = spread(records.select(column), column).mapInPandas(count, "parent string, child string, n long, n_repeated long, n_objects long")
     edges = cut(part.groupBy("parent", "child").agg(*(F.sum(c).alias(c) for c in ("n", "n_repeated", "n_objects"))))  # used twice, made once
-    degree = edges.groupBy("parent").agg(F.count("*").alias("__d"))
-    child = F.when(F.col("__d") > open_keys, F.lit("*")).otherwise(F.col("child"))
+    degree = edges.groupBy("parent").agg(F.count("*").alias("__d"), F.sum("n").alias("__n"))
+    rare = ~F.col("child").isin(*shape.lists) & (F.col("n") * open_keys < F.col("__n"))
+    child = F.when((F.col("__d") > open_keys) & rare, F.lit("*")).otherwise(F.col("child"))
     return edges.join(degree, "parent").withColumn("child", child).groupBy("parent", "child").agg(*(F.sum(c).alias(c) for c in ("n", "n_repeated", "n_objects")))
 
 
 @dataclass(frozen=True)
 class Plan:
-    """tables: element types with a table; inlined: for each of them the paths of the scalars it takes in, as (column, path)."""
+    """tables: element types with a table; inlined: for each of them the paths of the scalars it takes in, as (column, path). A path that
+    ends in ``*`` takes in the open map there: one JSON object of its keys that are not in ``named[column's table, path]``."""
 
     tables: tuple[str, ...]
     inlined: dict[str, tuple[tuple[str, tuple[str, ...]], ...]]
+    named: dict[tuple[str, tuple[str, ...]], frozenset[str]] = field(default_factory=dict)
 
 
 def relations(graph: DataFrame) -> Plan:
@@ -219,7 +224,7 @@ def relations(graph: DataFrame) -> Plan:
     shared = {c for c in complex_ if len(parents[c]) > 1}
     recursive = {c for c in complex_ if c in reaches(c)}
     tables = tuple(sorted(({ROOT} | many | shared | recursive) - {"*"}))
-    inlined = {}
+    inlined, named = {}, {}
     for t in tables:
         paths, todo = [], [(t, ())]
         while todo:
@@ -227,12 +232,14 @@ def relations(graph: DataFrame) -> Plan:
             for c in sorted(children[node]):
                 if c in tables or c in path:
                     continue
-                if c in complex_:
+                if c == "*":
+                    named[t, (*path, c)] = frozenset(children[node] | set(tables))
+                if c in complex_ and c != "*":
                     todo.append((c, (*path, c)))
                 else:
                     paths.append(("_".join((*path, c)), (*path, c)))
         inlined[t] = tuple(sorted(paths))
-    return Plan(tables, inlined)
+    return Plan(tables, inlined, named)
 
 
 def _at(value: Any, path: tuple[str, ...]) -> Any:
@@ -261,18 +268,22 @@ def shred(records: DataFrame, column: str, key: str, plan: Plan, shape: Shape =
                     continue
                 for lista, padre, padre_pos, pos, element in walk(value, shape, lists):
                     row = (k, lista, padre, padre_pos, pos)
-                    out.append((*row, _values(element, plan.inlined[lista])) if values else row)
+                    out.append((*row, _values(element, plan, lista)) if values else row)
             yield pd.DataFrame(out, columns=names)
 
     return spread(records.select(key, column), key).mapInPandas(run, schema)
 
 
-def _values(element: Any, paths: tuple[tuple[str, tuple[str, ...]], ...]) -> dict[str, str]:
+def _values(element: Any, plan: Plan, lista: str) -> dict[str, str]:
     if not isinstance(element, dict):
         return {"valor": element if isinstance(element, str) else json.dumps(element, ensure_ascii=False)}
     got = {}
-    for column, path in paths:
-        v = _at(element, path)
+    for column, path in plan.inlined[lista]:
+        if (known := plan.named.get((lista, path))) is not None:
+            v = _at(element, path[:-1])
+            v = {k: x for k, x in v.items() if k not in known} or None if isinstance(v, dict) else None
+        else:
+            v = _at(element, path)
         if v is not None:
             got[column] = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
     return got

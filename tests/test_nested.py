@@ -56,3 +56,30 @@ def test_graph_plan_and_tables(spark):
 def test_open_keys_are_one_child(spark):
     df = spark.createDataFrame([(1, json.dumps({f"k{i}": i for i in range(20)}))], "id long, payload string")
     assert [r.child for r in N.schema_graph(df, "payload", open_keys=10).collect()] == ["*"]
+
+
+def test_many_keys_beside_the_lists_leave_them_in_place(spark):
+    """A record with more keys than an open map needs changes no row of another, and its values stay."""
+    case = {"id": "a", "transcripcion": [{"fase": "x", "dialogos": [{"rol": "r"}, {"rol": "s"}]}], "sintomas": ["tos"], "diagnosticos_secundarios": [{"nombre": "d", "medicamentos": [{"nombre": "m"}]}]}
+    wide = case | {f"k{i}": {"v": i} if i % 2 else i for i in range(N.OPEN_KEYS + 20)}
+    alone, both = ([(1, json.dumps(case))], [(1, json.dumps(case)), (2, json.dumps(wide))])
+    found = []
+    for data in (alone, both):
+        df = spark.createDataFrame(data, "id long, payload string")
+        plan = N.relations(N.schema_graph(df, "payload", N.CASE_SHAPE))
+        rows = N.shred(df, "payload", "id", plan, N.CASE_SHAPE)
+        keys = rows.filter(rows.lista.isin(*N.CASE_SHAPE.lists)).select("id", "lista", "padre_lista", "padre_pos", "pos")
+        found.append({tuple(r) for r in keys.collect()})
+    assert found[0] == {r for r in found[1] if r[0] == 1} == {(1, *r[1:]) for r in found[1] if r[0] == 2}
+    assert (1, "medicamentos", "diagnosticos_secundarios", 0, 0) in found[0] and (1, "dialogos", "transcripcion", 0, 1) in found[0]
+    kept = [r for r in N.flat_table(rows, plan, "caso", "id").collect() if r.id == 2][0]
+    assert json.loads(kept["*"]) == {k: v for k, v in wide.items() if k not in case}
+
+
+def test_frequent_keys_stay_columns(spark):
+    """Keys of many records beside an open map in an inlined object; the map's own values come as one object."""
+    docs = [{"id": i, "datos": {"edad": i, f"d{i}": i, f"e{i}": {"z": i}}} for i in range(20)]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(docs)], "n long, payload string")
+    plan = N.relations(N.schema_graph(df, "payload", open_keys=10))
+    got = {r.n: r for r in N.flat_table(N.shred(df, "payload", "n", plan), plan, "caso", "n").collect()}
+    assert all(got[i].datos_edad == str(i) and json.loads(got[i]["datos_*"]) == {f"d{i}": i, f"e{i}": {"z": i}} for i in range(20))
