@@ -39,28 +39,25 @@ def nested_status(cases: DataFrame) -> DataFrame:
     return cases.select(*keep, reason.alias("reason")).withColumn("status", F.when(F.col("reason").isNull(), OK).otherwise(FAILED))
 
 
-def flat_status(cases: DataFrame, turns: DataFrame, key: str = "id", size: Column | None = None) -> DataFrame:
-    """case_id, n_turns, n_chars, status, reason where cases and turns are tables.
+def turn_flags(rol: Column, size: Column) -> dict[str, Column]:
+    """What may be wrong with a turn: each true, false or null (unknown, which is not wrong)."""
+    return {"__no_rol": rol.isNull(), "__no_texto": size.isNull(), "__no_voice": ~rol.isin(*VOICE_KEYS)}
 
-    A case without turns is plannable with 0 turns; a turn whose case is not in ``cases`` fails as "no case". One shuffle on the case.
-    ``size`` is the length of the text (null where there is none) of turns that come without it.
-    """
-    size = F.length("texto").cast("long") if size is None else size
-    per_case = turns.groupBy("case_id").agg(
-        F.count("*").alias("n_turns"),
-        F.coalesce(F.sum(size), F.lit(0).cast("long")).alias("n_chars"),
-        F.bool_or(F.col("rol").isNull()).alias("__no_rol"),
-        F.bool_or(size.isNull()).alias("__no_texto"),
-        F.bool_or(~F.col("rol").isin(*VOICE_KEYS)).alias("__no_voice"),
-    )
-    head = cases.select(
+
+def case_head(cases: DataFrame, key: str = "id", *keep: Column) -> DataFrame:
+    """case_id and what may be wrong with a case apart from its turns, with the columns of ``keep``."""
+    return cases.select(
         F.col(key).alias("case_id"),
         F.lit(True).alias("__case"),
         F.col("audio_file").isNull().alias("__no_audio"),
         F.col("diagnostico_principal.nombre").isNull().alias("__no_dx"),
         *(F.col("voces")[k].isNull().alias(f"__no_{k}") for k in VOICE_KEYS.values()),
+        *keep,
     )
-    both = head.join(per_case, "case_id", "full_outer")
+
+
+def flat_reason() -> Column:
+    """The first thing that stops a case, of the columns of ``case_head`` and the flags of its turns; null if nothing does."""
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     steps = [
         (F.col("__case").isNull(), "no case"),
@@ -74,6 +71,25 @@ def flat_status(cases: DataFrame, turns: DataFrame, key: str = "id", size: Colum
     reason = F.lit(None).cast("string")
     for cond, why in reversed(steps):
         reason = F.when(cond, why).otherwise(reason)
+    return reason
+
+
+def flat_status(cases: DataFrame, turns: DataFrame, key: str = "id", size: Column | None = None) -> DataFrame:
+    """case_id, n_turns, n_chars, status, reason where cases and turns are tables.
+
+    A case without turns is plannable with 0 turns; a turn whose case is not in ``cases`` fails as "no case". One shuffle on the case.
+    ``size`` is the length of the text (null where there is none) of turns that come without it.
+    """
+    size = F.length("texto").cast("long") if size is None else size
+    flags = turn_flags(F.col("rol"), size)
+    per_case = turns.groupBy("case_id").agg(F.count("*").alias("n_turns"), F.coalesce(F.sum(size), F.lit(0).cast("long")).alias("n_chars"), *(F.bool_or(c).alias(n) for n, c in flags.items()))
+    return judged(cases, per_case, key)
+
+
+def judged(cases: DataFrame, per_case: DataFrame, key: str = "id") -> DataFrame:
+    """``flat_status`` of turns that are already summed by case: case_id, n_turns, n_chars and the flags."""
+    both = case_head(cases, key).join(per_case, "case_id", "full_outer")
+    reason = flat_reason()
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return both.select("case_id", zero("n_turns"), zero("n_chars"), F.when(reason.isNull(), OK).otherwise(FAILED).alias("status"), reason.alias("reason"))
 

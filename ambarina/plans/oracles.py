@@ -7,29 +7,41 @@ C = "c AS (SELECT * FROM casos QUALIFY row_number() OVER (PARTITION BY id ORDER
 ROL = """CASE WHEN translate(trim(lower(rol)), 'áéíóú', 'aeiou') IN ('medico','doctor','doctora','medica') THEN 'medico'
  WHEN translate(trim(lower(rol)), 'áéíóú', 'aeiou') = 'paciente' THEN 'paciente'
  WHEN translate(trim(lower(rol)), 'áéíóú', 'aeiou') IN ('padre','madre','tutor') THEN 'padre' END"""
-#: Turns as packed, then the recursive fold: one step a turn over all cases at once.
-PACK = f"""
- n AS (SELECT * FROM (SELECT case_id, seq, texto, {ROL} AS rol FROM t) WHERE rol IN ('medico','paciente') AND texto IS NOT NULL),
- m AS (SELECT case_id, sum(length(texto)) AS total FROM n GROUP BY 1),
- o AS (SELECT n.case_id, seq, rol, texto, length(texto) AS l, total, row_number() OVER (PARTITION BY n.case_id ORDER BY seq) AS i FROM n JOIN m USING (case_id)),
- f AS (SELECT case_id, i, seq, 0 AS chunk_no, l AS s FROM o WHERE i = 1
+READ = f"coalesce({ROL}, rol)"
+
+
+def status_of(rol: str) -> str:
+    """h and st: every case with its first failure, in the order in which the document is read; ``rol``: how a role is read."""
+    return f""" h AS (SELECT case_id, count(*) AS n_turns, CAST(coalesce(sum(length(texto)),0) AS BIGINT) AS n_chars, bool_or(rol IS NULL) AS no_rol, bool_or(texto IS NULL) AS no_texto,
+   bool_or(rol NOT IN ('medico','paciente')) AS no_voice FROM (SELECT case_id, texto, {rol} AS rol FROM t) GROUP BY 1),
+ st AS (SELECT coalesce(c.id, h.case_id) AS case_id, coalesce(n_turns,0) AS n_turns, coalesce(n_chars,0) AS n_chars,
+   CASE WHEN c.id IS NULL THEN 'no case' WHEN audio_file IS NULL THEN 'no audio_file' WHEN diagnostico_principal.nombre IS NULL THEN 'no diagnostico_principal.nombre'
+     WHEN voces['medico_voice_id'] IS NULL THEN 'no voces.medico_voice_id' WHEN voces['paciente_voice_id'] IS NULL THEN 'no voces.paciente_voice_id'
+     WHEN no_rol THEN 'turn without rol' WHEN no_texto THEN 'turn without texto' WHEN no_voice THEN 'role without voice' END AS reason
+   FROM c FULL JOIN h ON c.id = h.case_id)"""
+
+
+def pack_of(rol: str) -> str:
+    """k: all turns of the cases without a failure, with their voice and chunk, by a recursive fold of one step a turn over all cases at
+    once; e: such cases without a turn. A lookup that misses fails its case, so every turn here has a voice."""
+    return f"""{status_of(rol)},
+ n AS (SELECT t.case_id, seq, texto, length(texto) AS l, n_chars AS total, CASE {rol} WHEN 'medico' THEN voces['medico_voice_id'] ELSE voces['paciente_voice_id'] END AS voice_id
+   FROM t JOIN st ON st.case_id = t.case_id AND reason IS NULL JOIN c ON c.id = t.case_id),
+ e AS (SELECT case_id FROM st WHERE reason IS NULL AND n_turns = 0),
+ o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS i FROM n),
+ f AS (SELECT case_id, i, 0 AS chunk_no, l AS s FROM o WHERE i = 1
    UNION ALL
-   SELECT o.case_id, o.i, o.seq, CASE WHEN o.total > 5000 AND f.s + o.l > 4500 THEN f.chunk_no + 1 ELSE f.chunk_no END,
+   SELECT o.case_id, o.i, CASE WHEN o.total > 5000 AND f.s + o.l > 4500 THEN f.chunk_no + 1 ELSE f.chunk_no END,
      CASE WHEN o.total > 5000 AND f.s + o.l > 4500 THEN o.l ELSE f.s + o.l END
    FROM f JOIN o ON o.case_id = f.case_id AND o.i = f.i + 1),
- k AS (SELECT f.case_id, f.seq, CAST(f.chunk_no AS INTEGER) AS chunk_no, o.texto, o.rol, o.l FROM f JOIN o USING (case_id, i))"""
+ k AS (SELECT o.*, CAST(f.chunk_no AS INTEGER) AS chunk_no FROM f JOIN o USING (case_id, i))"""
+
+
 PATHS = """ p AS (SELECT id AS case_id, CASE WHEN audio_file LIKE '/%' THEN audio_file ELSE '/audio/' || audio_file END AS path FROM c),
- g AS (SELECT case_id, chunk_no, max(chunk_no) OVER (PARTITION BY case_id) AS last FROM (SELECT DISTINCT case_id, chunk_no FROM k)),
+ g AS (SELECT case_id, chunk_no, max(chunk_no) OVER (PARTITION BY case_id) AS last FROM (SELECT DISTINCT case_id, chunk_no FROM k UNION ALL SELECT case_id, 0 FROM e)),
  cp AS (SELECT g.case_id, chunk_no, CAST(last + 1 AS BIGINT) AS n_chunks, path,
    CASE WHEN last = 0 THEN path ELSE replace(path, '.mp3', '_part' || (chunk_no + 1) || '.mp3') END AS part,
    CASE WHEN last > 0 THEN replace(path, '.mp3', '_filelist.txt') END AS list_file FROM g JOIN p USING (case_id))"""
-STATUS = """ h AS (SELECT case_id, count(*) AS n_turns, CAST(coalesce(sum(length(texto)),0) AS BIGINT) AS n_chars, bool_or(rol IS NULL) AS no_rol, bool_or(texto IS NULL) AS no_texto,
-   bool_or(rol NOT IN ('medico','paciente')) AS no_voice FROM t GROUP BY 1),
- st AS (SELECT coalesce(c.id, h.case_id) AS case_id, coalesce(n_turns,0) AS n_turns, coalesce(n_chars,0) AS n_chars,
-   CASE WHEN c.id IS NULL THEN 'no case' WHEN audio_file IS NULL THEN 'no audio_file' WHEN diagnostico_principal.nombre IS NULL THEN 'no diagnostico_principal.nombre'
-     WHEN voces['medico_voice_id'] IS NULL THEN 'no voces.medico_voice_id' WHEN voces['paciente_voice_id'] IS NULL THEN 'no voces.paciente_voice_id'
-     WHEN no_rol THEN 'turn without rol' WHEN no_texto THEN 'turn without texto' WHEN no_voice THEN 'role without voice' END AS reason
-   FROM c FULL JOIN h ON c.id = h.case_id)"""
 CODES = """ cd AS (SELECT id AS case_id, 'diagnostico_principal' AS kind, 0 AS idx, diagnostico_principal.nombre AS nombre, s.system, s.code, diagnostico_principal.snomed_termino AS term
    FROM c, LATERAL (VALUES ('cie10', diagnostico_principal.cie10), ('snomed_ct', diagnostico_principal.snomed_ct)) s(system, code) WHERE s.code IS NOT NULL
    UNION ALL SELECT id, 'procedimientos', i - 1, procedimientos[i].nombre, 'snomed_ct', procedimientos[i].snomed_ct, procedimientos[i].snomed_termino
@@ -52,21 +64,12 @@ ORACLES: dict[str, str] = {
     "turns_by_role": f"WITH {T} SELECT rol, count(*) AS n_turns FROM t GROUP BY 1",
     "turns_by_phase": f"WITH {T} SELECT fase, count(*) AS n_turns FROM t GROUP BY 1",
     "canonical_roles": f"WITH {T} SELECT {ROL} AS rol, count(*) AS n_turns FROM t GROUP BY 1",
-    "case_status": f"WITH {T}, {C}, {STATUS} SELECT case_id, n_turns, n_chars, CASE WHEN reason IS NULL THEN 'success' ELSE 'failed' END AS status, reason FROM st",
-    "case_status_rollup": f"WITH {T}, {C}, {STATUS} SELECT status, count(case_id) AS n_cases FROM (VALUES ('success'),('failed')) v(status) LEFT JOIN st ON (CASE WHEN reason IS NULL THEN 'success' ELSE 'failed' END) = status GROUP BY 1",
-    "chunk_pack_dialogue": f"WITH RECURSIVE {T}, {PACK} SELECT case_id, chunk_no, count(*) AS n_turns, CAST(sum(l) AS BIGINT) AS n_chars FROM k GROUP BY 1, 2",
-    "chunk_count_per_case": f"WITH RECURSIVE {T}, {PACK} SELECT case_id, CAST(max(chunk_no) + 1 AS BIGINT) AS n_chunks FROM k GROUP BY 1",
     "chunk_pack_lines": """WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
       o AS (SELECT doc_id, i, length(a[i]) AS l FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM d)),
       f AS (SELECT doc_id, i, 0 AS chunk_no, l AS s, l FROM o WHERE i = 1 UNION ALL
         SELECT o.doc_id, o.i, CASE WHEN f.s + o.l > 4500 THEN f.chunk_no + 1 ELSE f.chunk_no END, CASE WHEN f.s + o.l > 4500 THEN o.l ELSE f.s + o.l END, o.l
         FROM f JOIN o ON o.doc_id = f.doc_id AND o.i = f.i + 1)
       SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, count(*) AS n_lines, CAST(sum(l) AS BIGINT) AS n_chars FROM f GROUP BY 1, 2""",
-    "chunk_paths": f"WITH RECURSIVE {T}, {C}, {PACK}, {PATHS} SELECT * FROM cp",
-    "concat_filelist": f"WITH RECURSIVE {T}, {C}, {PACK}, {PATHS} SELECT case_id, count(*) AS n_parts, string_agg('file ''' || part || '''', chr(10) ORDER BY chunk_no) || chr(10) AS content FROM cp GROUP BY 1 HAVING count(*) > 1",
-    "request_manifest": f"""WITH RECURSIVE {T}, {C}, {PACK},
-      v AS (SELECT k.*, CASE k.rol WHEN 'medico' THEN voces['medico_voice_id'] WHEN 'paciente' THEN voces['paciente_voice_id'] END AS voice_id FROM k LEFT JOIN c ON c.id = k.case_id)
-      SELECT case_id, chunk_no, count(*) AS n_turns, '{{"inputs":[' || string_agg('{{"text":' || CAST(to_json(texto) AS VARCHAR) || CASE WHEN voice_id IS NULL THEN '' ELSE ',"voice_id":' || CAST(to_json(voice_id) AS VARCHAR) END || '}}', ',' ORDER BY seq) || '],"model_id":"eleven_v3"}}' AS payload FROM v GROUP BY 1, 2""",
     "output_paths": f"""WITH {C}, p AS (SELECT id, CASE WHEN audio_file LIKE '/%' THEN audio_file ELSE '/audio/' || audio_file END AS path FROM c)
       SELECT id, path, regexp_extract(path, '^(.*)/', 1) AS folder, replace(path, '.mp3', '_filelist.txt') AS list_file FROM p""",
     "error_prefix": "SELECT doc_id, left(text, 500) AS prefix FROM documents",
@@ -101,3 +104,18 @@ ORACLES: dict[str, str] = {
     "misspelt_unit_key": "SELECT DISTINCT lectura_id, unitem AS unidad FROM constantes WHERE unidad IS NULL AND unitem IS NOT NULL",
     "centre_load": "WITH t AS (SELECT DISTINCT case_id, seq, centro_id, texto FROM turnos) SELECT t.centro_id, nombre, count(*) AS n_turns, CAST(sum(length(texto)) AS BIGINT) AS n_chars FROM t LEFT JOIN centros USING (centro_id) GROUP BY 1, 2",
 }
+
+OK = "CASE WHEN reason IS NULL THEN 'success' ELSE 'failed' END"
+# roles as written, and as read
+for _suffix, _rol in (("", "rol"), ("_whole", READ)):
+    _pack = f"WITH RECURSIVE {T}, {C}, {pack_of(_rol)}"
+    _request = """'{"inputs":[' || string_agg('{"text":' || CAST(to_json(texto) AS VARCHAR) || ',"voice_id":' || CAST(to_json(voice_id) AS VARCHAR) || '}', ',' ORDER BY seq) || '],"model_id":"eleven_v3"}'"""
+    ORACLES |= {
+        "case_status_canonical" if _suffix else "case_status": f"WITH {T}, {C}, {status_of(_rol)} SELECT case_id, n_turns, n_chars, {OK} AS status, reason FROM st",
+        f"chunk_pack_dialogue{_suffix}": f"{_pack} SELECT case_id, chunk_no, count(*) AS n_turns, CAST(sum(l) AS BIGINT) AS n_chars FROM k GROUP BY 1, 2 UNION ALL SELECT case_id, 0, 0, 0 FROM e",
+        f"chunk_count_per_case{_suffix}": f"{_pack} SELECT case_id, CAST(max(chunk_no) + 1 AS BIGINT) AS n_chunks FROM (SELECT case_id, chunk_no FROM k UNION ALL SELECT case_id, 0 FROM e) GROUP BY 1",
+        f"chunk_paths{_suffix}": f"{_pack}, {PATHS} SELECT * FROM cp",
+        f"concat_filelist{_suffix}": f"{_pack}, {PATHS} SELECT case_id, count(*) AS n_parts, string_agg('file ''' || part || '''', chr(10) ORDER BY chunk_no) || chr(10) AS content FROM cp GROUP BY 1 HAVING count(*) > 1",
+        f"request_manifest{_suffix}": f"""{_pack} SELECT case_id, chunk_no, count(*) AS n_turns, {_request} AS payload FROM k GROUP BY 1, 2 UNION ALL SELECT case_id, 0, 0, '{{"inputs":[],"model_id":"eleven_v3"}}' FROM e""",
+    }
+ORACLES["case_status_rollup"] = f"WITH {T}, {C}, {status_of('rol')} SELECT status, count(case_id) AS n_cases FROM (VALUES ('success'),('failed')) v(status) LEFT JOIN st ON {OK} = status GROUP BY 1"

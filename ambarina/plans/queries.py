@@ -13,6 +13,7 @@ from ..operators import codes as K
 from ..operators import dialogue as D
 from ..operators import manifest as M
 from ..operators import packing as P
+from ..operators import planning as L
 from ..operators import status as S
 from ..operators import summary as U
 from ..operators import units as V
@@ -84,115 +85,101 @@ def canonical_roles(spark: SparkSession, d: str) -> DataFrame:
     return turns(spark, d, "rol").groupBy(D.canonical_rol("rol").alias("rol")).agg(F.count("*").alias("n_turns"))
 
 
-def _status(spark: SparkSession, d: str) -> DataFrame:
-    return S.flat_status(cases(spark, d, "audio_file", "diagnostico_principal", "voces"), turns(spark, d, "rol", "texto"))
+def _read_rol() -> Column:
+    """The canonical role; one that has none stays as written, and so has no voice."""
+    return F.coalesce(D.canonical_rol("rol"), F.col("rol"))
 
 
-@query
-def case_status(spark: SparkSession, d: str) -> DataFrame:
-    return _status(spark, d)
+def _plan(spark: SparkSession, d: str, canonical: bool = False) -> tuple[DataFrame, DataFrame, Column | None]:
+    """(cases, turns, role): what status and packing run on. Roles count as written, or as ``_read_rol`` reads them."""
+    return cases(spark, d, "audio_file", "diagnostico_principal", "voces"), table(spark, d, "turnos"), _read_rol() if canonical else None
 
 
-@query
-def case_status_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return S.rollup(_status(spark, d))
+def _status(spark: SparkSession, d: str, canonical: bool = False) -> DataFrame:
+    c, t, rol = _plan(spark, d, canonical)
+    return L.status(c, L.turn_stretches(t, rol))
 
 
-def _normal(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Turns with text and a voice under the canonical role, and the measures of their cases: what packing runs on here.
+def _chunk_counts(chunks: DataFrame) -> DataFrame:
+    return chunks.groupBy("case_id").agg((F.max("chunk_no") + 1).cast("long").alias("n_chunks"))
 
-    Under the exact lookup most cases of these tables fail on a role's spelling; ``case_status`` reports that.
-    """
-    t = turns(spark, d, "rol", "texto").withColumn("rol", D.canonical_rol("rol")).filter("rol in ('medico', 'paciente') and texto is not null")
-    m = t.groupBy("case_id").agg(F.count("*").alias("n_turns"), F.sum(F.length("texto").cast("long")).alias("n_chars"))
-    return t, m
+
+def _paths(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
+    return M.chunk_paths(chunks, cases(spark, d, "audio_file").select(F.col("id").alias("case_id"), M.output_path(ROOT).alias("path")))
 
 
 @query
-def chunk_pack_dialogue(spark: SparkSession, d: str) -> DataFrame:
-    t, m = _normal(spark, d)
-    return P.chunk_sizes(P.plan_chunks(t, m))
+def case_status(spark: SparkSession, d: str) -> DataFrame:
+    return _status(spark, d)
 
 
 @query
-def chunk_count_per_case(spark: SparkSession, d: str) -> DataFrame:
-    t, m = _normal(spark, d)
-    return P.plan_chunks(t, m).groupBy("case_id").agg((F.max("chunk_no") + 1).cast("long").alias("n_chunks"))
+def case_status_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return S.rollup(_status(spark, d))
 
 
-def _read_rol() -> Column:
-    """The canonical role; one that has none stays as written, and so has no voice."""
-    return F.coalesce(D.canonical_rol("rol"), F.col("rol"))
+@query
+def case_status_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Which cases the ``*_whole`` queries plan, and why the others fail."""
+    return _status(spark, d, True)
 
 
-def _sizes(spark: SparkSession, d: str) -> DataFrame:
-    """All turns with the length of their text in place of it: what status and packing need of them."""
-    t = table(spark, d, "turnos").withColumn("n_chars", F.length("texto").cast("long"))
-    return without_redelivery(t, ["case_id", "seq"], ["rol", "n_chars"]).withColumn("rol", _read_rol())
+# Requests of the cases that ``case_status`` has as success; ``*_whole``: of those of ``case_status_canonical``.
 
 
 @query
-def case_status_canonical(spark: SparkSession, d: str) -> DataFrame:
-    """Which cases the ``*_whole`` queries plan, and why the others fail."""
-    return S.flat_status(cases(spark, d, "audio_file", "diagnostico_principal", "voces"), _sizes(spark, d), size=F.col("n_chars"))
+def chunk_pack_dialogue(spark: SparkSession, d: str) -> DataFrame:
+    return L.chunks(*_plan(spark, d))
 
 
-def _whole(spark: SparkSession, d: str) -> DataFrame:
-    """The chunks of all turns of the cases that can be voiced whole under the canonical role."""
-    plannable = case_status_canonical(spark, d).filter(F.col("status") == S.OK).select("case_id", "n_turns", "n_chars")
-    return P.pack(_sizes(spark, d).select("case_id", "seq", "n_chars"), limit=P.LIMIT, counted=plannable)
+@query
+def chunk_pack_dialogue_whole(spark: SparkSession, d: str) -> DataFrame:
+    return L.chunks(*_plan(spark, d, True))
 
 
 @query
-def chunk_pack_dialogue_whole(spark: SparkSession, d: str) -> DataFrame:
-    return P.chunk_sizes(_whole(spark, d))
+def chunk_count_per_case(spark: SparkSession, d: str) -> DataFrame:
+    return _chunk_counts(L.chunks(*_plan(spark, d)))
 
 
 @query
 def chunk_count_per_case_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _whole(spark, d).groupBy("case_id").agg((F.max("chunk_no") + 1).cast("long").alias("n_chunks"))
+    return _chunk_counts(L.chunks(*_plan(spark, d, True)))
 
 
 @query
 def chunk_pack_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), F.posexplode(F.split("text", "\n")).alias("seq", "texto"))
-    t = lines.withColumn("n_chars", F.length("texto").cast("long"))
-    return P.chunk_sizes(P.pack(t.select("case_id", "seq", "n_chars"))).select(F.col("case_id").alias("doc_id"), "chunk_no", F.col("n_turns").alias("n_lines"), "n_chars")
+    return P.pack_lines(table(spark, d, "documents"), "doc_id").withColumnRenamed("n_turns", "n_lines")
 
 
 @query
 def chunk_paths(spark: SparkSession, d: str) -> DataFrame:
-    t, m = _normal(spark, d)
-    paths = cases(spark, d, "audio_file").select(F.col("id").alias("case_id"), M.output_path(ROOT).alias("path"))
-    return M.chunk_paths(P.plan_chunks(t, m), paths)
+    return _paths(spark, d, L.chunks(*_plan(spark, d)))
 
 
 @query
-def concat_filelist(spark: SparkSession, d: str) -> DataFrame:
-    return M.file_lists(chunk_paths(spark, d))
+def chunk_paths_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _paths(spark, d, L.chunks(*_plan(spark, d, True)))
 
 
 @query
-def request_manifest(spark: SparkSession, d: str) -> DataFrame:
-    t, m = _normal(spark, d)
-    return M.requests(D.with_voice(t, cases(spark, d, "voces")), P.plan_chunks(t, m))
+def concat_filelist(spark: SparkSession, d: str) -> DataFrame:
+    return M.file_lists(chunk_paths(spark, d))
 
 
 @query
-def chunk_paths_whole(spark: SparkSession, d: str) -> DataFrame:
-    paths = cases(spark, d, "audio_file").select(F.col("id").alias("case_id"), M.output_path(ROOT).alias("path"))
-    return M.chunk_paths(_whole(spark, d), paths)
+def concat_filelist_whole(spark: SparkSession, d: str) -> DataFrame:
+    return M.file_lists(chunk_paths_whole(spark, d))
 
 
 @query
-def concat_filelist_whole(spark: SparkSession, d: str) -> DataFrame:
-    return M.file_lists(chunk_paths_whole(spark, d))
+def request_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return L.requests(*_plan(spark, d))
 
 
 @query
 def request_manifest_whole(spark: SparkSession, d: str) -> DataFrame:
-    t = turns(spark, d, "rol", "texto").withColumn("rol", _read_rol())
-    return M.requests(D.with_voice(t, cases(spark, d, "voces")), _whole(spark, d))
+    return L.requests(*_plan(spark, d, True))
 
 
 @query
