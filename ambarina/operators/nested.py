@@ -4,10 +4,11 @@
    often the child was repeated, an object or a scalar. Partial sums leave each task, so what is shuffled follows the number of keys.
 2. ``relations`` decides on the graph alone: an element type gets a table of its own if it is repeated, reached from several parents
    (shared) or from itself (recursive); every other one is inlined into the table of its nearest ancestor that has one.
-3. ``shred`` reads the records again and emits a row an element with its foreign key: record, parent table, parent position, position.
+3. ``shred`` reads the records again and emits a row an element with its keys: ``clave``, its path in the record, unique there, and the
+   ``clave`` and table of the element it lies in; besides, the parent list and position by the rules of ``Shape``.
 
-Records arrive as JSON text in any column. Null texts, texts that are not complete JSON and the JSON value null give no rows; so do
-texts nested deeper than the parser allows. A list may be written as a list, as JSON text inside a string, as an object whose keys are
+Records arrive as JSON text in any column. Null texts, texts that are not complete JSON (``NaN`` is none), values without an object and
+texts nested deeper than the parser allows give no rows; ``rejects`` has them with their reason, so every record is in one or the other. A list may be written as a list, as JSON text inside a string, as an object whose keys are
 numbers (the number is the position), as an object whose keys name the elements (``names``), or as one bare element. Null elements
 count in the positions but have no row. Wrappers around the record, of any depth, are looked through.
 """
@@ -18,7 +19,7 @@ import json
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from typing import Any
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,8 +31,9 @@ from ..sources.tables import spread
 
 ROOT = "caso"
 #: Children of one element type beyond which its keys are taken for data (an open map), not for element types; those that are lists of
-#: the shape, or one in so many of the keys met there, remain element types.
+#: the shape, or one in so many of the keys met there, remain element types. What lies under the others is in the table OPEN.
 OPEN_KEYS = 300
+OPEN = "*"
 
 
 @dataclass(frozen=True)
@@ -47,17 +49,32 @@ class Shape:
 
 def parsed(text: Any) -> Any:
     """The value of a complete JSON text, else None."""
-    if not isinstance(text, str) or not text or text.isspace():
-        return None
+    return _read(text)[0]
+
+
+def _read(text: Any) -> tuple[Any, str | None]:
+    """(value, None), or None and why there is none."""
+    if not isinstance(text, str):
+        return None, "nulo"
+    if not text or text.isspace():
+        return None, "vacío"
     try:
         value = json.loads(text.lstrip("﻿"), parse_constant=_no)
-    except (ValueError, RecursionError):
-        return None
-    return parsed(value) if isinstance(value, str) else value
+    except _NoNumber:
+        return None, "número que no es JSON"
+    except ValueError:
+        return None, "incompleto"
+    except RecursionError:
+        return None, "demasiado profundo"
+    return _read(value) if isinstance(value, str) else (value, None)
+
+
+class _NoNumber(ValueError):
+    pass
 
 
 def _no(name: str) -> None:
-    raise ValueError(name)
+    raise _NoNumber(name)
 
 
 def opened(value: Any) -> Any:
@@ -114,30 +131,86 @@ def record_in(value: Any, shape: Shape) -> Any:
     return opened(value)
 
 
-def walk(value: Any, shape: Shape, lists: frozenset[str]) -> Iterator[tuple[str, str | None, int, int, Any]]:
-    """(list, parent list, parent position, position, element) of every element of ``lists`` in a record; the record itself, if asked
-    for, has no parent."""
-    if ROOT in lists and isinstance(one := record_in(value, shape), dict):
-        yield ROOT, None, -1, 0, one
-    stack: list[tuple[Any, str, int]] = [(value, ROOT, -1)]
+class Element(NamedTuple):
+    """One element: its table, the parent by the rules of the shape, its key in the record, and the element it lies in."""
+
+    lista: str
+    padre_lista: str | None
+    padre_pos: int
+    pos: int
+    clave: str
+    padre_tabla: str | None
+    padre_clave: str | None
+    valor: Any
+
+
+class _Node(NamedTuple):
+    value: Any
+    owner: str  # the nearest list of the shape, and the position in it
+    owner_pos: int
+    table: str  # the nearest element with a table: its table, position and key
+    table_pos: int
+    key: str
+    path: str
+    kind: str | None  # the key of the object itself
+
+
+def linked(value: Any, shape: Shape, lists: frozenset[str], known: dict[str, frozenset[str]] | None = None) -> Iterator[Element]:
+    """Every element of ``lists`` in a record; the record itself, if asked for, has the empty key and no parent. ``known``: of the element
+    types that are open maps, the keys that are element types; what is repeated or an object under another key is an element of OPEN."""
+    known = known or {}
+    record = record_in(value, shape)
+    if ROOT in lists and isinstance(record, dict):
+        yield Element(ROOT, None, -1, 0, "", None, None, record)
+    anchored = frozenset(shape.lists) or lists
+    stack = [_Node(value, ROOT, -1, ROOT, -1, "", "", None)]
     while stack:
-        node, parent, at = stack.pop()
-        node = opened(node)
+        n = stack.pop()
+        node = opened(n.value)
         if isinstance(node, list):
-            stack += [(x, parent, at) for x in node if isinstance(x, (dict, list))]
+            stack += [n._replace(value=x, path=f"{n.path}/{i}") for i, x in enumerate(node) if isinstance(x, (dict, list))]
             continue
         if not isinstance(node, dict):
             continue
+        kind = ROOT if node is record or node == record and n.kind is None else n.kind
+        folds = known.get(kind) if kind is not None and OPEN in lists else None
         for key, child in node.items():
-            if key in lists:
+            here = f"{n.path}/{_escaped(key)}"
+            if key in lists and not (key == ROOT and opened(child) == record):  # a wrapper may bear the root's name
                 wanted = shape.owners.get(key)
-                owner, owner_at = (parent, at) if wanted is None or parent == wanted else (ROOT, -1)
+                if key not in anchored:
+                    owner, owner_pos = n.table, n.table_pos
+                else:
+                    owner, owner_pos = (n.owner, n.owner_pos) if wanted is None or n.owner == wanted else (ROOT, -1)
+                seen: set[str] = set()
                 for pos, element in elements(key, child, shape) or ():
-                    yield key, owner, owner_at, pos, element
+                    at = f"{here}/{pos}"
+                    while at in seen:  # numbers written in two ways
+                        at += "'"
+                    seen.add(at)
+                    yield Element(key, owner, owner_pos, pos, at, n.table, n.key, element)
                     if isinstance(element, (dict, list)):
-                        stack.append((element, key, pos))
+                        stack.append(_Node(element, *((key, pos) if key in anchored else (n.owner, n.owner_pos)), key, pos, at, at, key))
+                continue
+            if folds is not None and key not in folds and isinstance(inner := opened(child), (dict, list)):
+                for pos, x in enumerate(inner if isinstance(inner, list) else [inner]):
+                    if x is not None:
+                        at = f"{here}/{pos}"
+                        yield Element(OPEN, n.table, n.table_pos, pos, at, n.table, n.key, {"clave": key, "valor": x})
+                        stack.append(_Node(x, n.owner, n.owner_pos, OPEN, pos, at, at, OPEN))
             elif isinstance(child, (dict, list)) or (isinstance(child, str) and child[:1] in ("{", "[") and child[-1:] in ("}", "]")):
-                stack.append((child, parent, at))
+                stack.append(n._replace(value=child, path=here, kind=None if kind is None else key))
+
+
+def _escaped(key: str) -> str:
+    return key.replace("~", "~0").replace("/", "~1")
+
+
+def walk(value: Any, shape: Shape, lists: frozenset[str]) -> Iterator[tuple[str, str | None, int, int, Any]]:
+    """(list, parent list, parent position, position, element) of every element of ``lists`` in a record; the record itself, if asked
+    for, has no parent."""
+    for e in linked(value, shape, lists):
+        yield e.lista, e.padre_lista, e.padre_pos, e.pos, e.valor
 
 
 def _edges(value: Any, shape: Shape, counts: dict[tuple[str, str], list[int]]) -> None:
@@ -163,7 +236,8 @@ def _edges(value: Any, shape: Shape, counts: dict[tuple[str, str], list[int]]) -
 
 def schema_graph(records: DataFrame, column: str, shape: Shape = Shape(), open_keys: int = OPEN_KEYS) -> DataFrame:
     """parent, child, n, n_repeated, n_objects over all records. Of a parent with more than ``open_keys`` keys, those are one child,
-    ``*``, that the shape does not name as lists and that are fewer than one in ``open_keys`` of the keys met there."""
+    ``*``, that the shape does not name as lists and that are fewer than one in ``open_keys`` of the keys met there; what lies below such
+    keys, lists of the shape excepted, is of the same type ``*``. So the graph has a bounded number of rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0])
@@ -183,18 +257,27 @@ def schema_graph(records: DataFrame, column: str, shape: Shape = Shape(), open_k
     edges = cut(part.groupBy("parent", "child").agg(*(F.sum(c).alias(c) for c in ("n", "n_repeated", "n_objects"))))  # used twice, made once
     degree = edges.groupBy("parent").agg(F.count("*").alias("__d"), F.sum("n").alias("__n"))
     rare = ~F.col("child").isin(*shape.lists) & (F.col("n") * open_keys < F.col("__n"))
-    child = F.when((F.col("__d") > open_keys) & rare, F.lit("*")).otherwise(F.col("child"))
-    return edges.join(degree, "parent").withColumn("child", child).groupBy("parent", "child").agg(*(F.sum(c).alias(c) for c in ("n", "n_repeated", "n_objects")))
+    sums = [F.sum(c).alias(c) for c in ("n", "n_repeated", "n_objects")]
+    judged = edges.join(degree, "parent").withColumn("folded", (F.col("__d") > open_keys) & rare)
+    # names that are only ever keys of open maps: what lies below them is told from no other
+    below = judged.groupBy(F.col("child").alias("parent")).agg(F.bool_and("folded").alias("__below")).filter("__below")
+    typed = judged.join(below, "parent", "left").withColumn("__below", F.col("__below").isNotNull())
+    named = F.col("child").isin(*shape.lists)
+    parent = F.when(F.col("__below"), F.lit(OPEN)).otherwise(F.col("parent"))
+    child = F.when(F.col("folded") | (F.col("__below") & ~named), F.lit(OPEN)).otherwise(F.col("child"))
+    return typed.select(parent.alias("parent"), child.alias("child"), "n", "n_repeated", "n_objects").groupBy("parent", "child").agg(*sums)
 
 
 @dataclass(frozen=True)
 class Plan:
     """tables: element types with a table; inlined: for each of them the paths of the scalars it takes in, as (column, path). A path that
-    ends in ``*`` takes in the open map there: one JSON object of its keys that are not in ``named[column's table, path]``."""
+    ends in ``*`` takes in the open map there: one JSON object of its keys that are not in ``named[column's table, path]``. known: of
+    each element type that is an open map, the keys that are element types."""
 
     tables: tuple[str, ...]
     inlined: dict[str, tuple[tuple[str, tuple[str, ...]], ...]]
     named: dict[tuple[str, tuple[str, ...]], frozenset[str]] = field(default_factory=dict)
+    known: dict[str, frozenset[str]] = field(default_factory=dict)
 
 
 def relations(graph: DataFrame) -> Plan:
@@ -223,23 +306,28 @@ def relations(graph: DataFrame) -> Plan:
     # only object types count as shared: a scalar is an attribute of whichever element holds it
     shared = {c for c in complex_ if len(parents[c]) > 1}
     recursive = {c for c in complex_ if c in reaches(c)}
-    tables = tuple(sorted(({ROOT} | many | shared | recursive) - {"*"}))
+    # what is repeated or an object under the keys of open maps has one table
+    tables = tuple(sorted({ROOT} | many | shared | recursive | ({OPEN} & complex_)))
+    known = {p: frozenset(cs - {OPEN} | set(tables)) for p, cs in children.items() if OPEN in cs}
     inlined, named = {}, {}
     for t in tables:
+        if t == OPEN:
+            inlined[t] = (("clave", ("clave",)),)
+            continue
         paths, todo = [], [(t, ())]
         while todo:
             node, path = todo.pop()
             for c in sorted(children[node]):
-                if c in tables or c in path:
+                if (c in tables and c != OPEN) or c in path:
                     continue
-                if c == "*":
+                if c == OPEN:
                     named[t, (*path, c)] = frozenset(children[node] | set(tables))
-                if c in complex_ and c != "*":
+                if c in complex_ and c != OPEN:
                     todo.append((c, (*path, c)))
                 else:
                     paths.append(("_".join((*path, c)), (*path, c)))
         inlined[t] = tuple(sorted(paths))
-    return Plan(tables, inlined, named)
+    return Plan(tables, inlined, named, known)
 
 
 def _at(value: Any, path: tuple[str, ...]) -> Any:
@@ -250,14 +338,21 @@ def _at(value: Any, path: tuple[str, ...]) -> Any:
     return value
 
 
+KEYS = "lista string, padre_lista string, padre_pos int, pos int"
+LINKS = "clave string, padre_tabla string, padre_clave string, valor map<string,string>"
+
+
 def shred(records: DataFrame, column: str, key: str, plan: Plan, shape: Shape = Shape(), only: tuple[str, ...] | None = None, values: bool = True) -> DataFrame:
-    """key, lista, padre_lista, padre_pos, pos and, with ``values``, ``valor`` (map of inlined columns to text; a bare element under
-    ``valor``). A row for each non-null element of the plan's tables, or of ``only`` of them. Extra columns of ``records`` are dropped.
+    """key, lista, padre_lista, padre_pos, pos and, with ``values``, clave, padre_tabla, padre_clave and ``valor`` (map of inlined columns
+    to text; a bare element under ``valor``). A row for each non-null element of the plan's tables, or of ``only`` of them. Extra columns
+    of ``records`` are dropped.
+
+    (key, clave) is unique; (key, padre_clave) is the element the row lies in, in the table padre_tabla, the record itself having the
+    empty clave.
     """
     lists = frozenset(t for t in plan.tables if only is None or t in only)
-    schema = T.StructType([records.schema[key], *(T.StructField(n, t) for n, t in (("lista", T.StringType()), ("padre_lista", T.StringType()), ("padre_pos", T.IntegerType()), ("pos", T.IntegerType())))])
-    if values:
-        schema = schema.add("valor", T.MapType(T.StringType(), T.StringType()))
+    tracked = frozenset(plan.tables) if values else lists
+    schema = T.StructType([records.schema[key], *T._parse_datatype_string(KEYS).fields, *(T._parse_datatype_string(LINKS).fields if values else ())])
     names = schema.names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,17 +361,40 @@ def shred(records: DataFrame, column: str, key: str, plan: Plan, shape: Shape =
             for k, text in zip(pdf[key], pdf[column]):
                 if (value := parsed(text)) is None:
                     continue
-                for lista, padre, padre_pos, pos, element in walk(value, shape, lists):
-                    row = (k, lista, padre, padre_pos, pos)
-                    out.append((*row, _values(element, plan, lista)) if values else row)
+                for e in linked(value, shape, tracked, plan.known):
+                    if e.lista in lists:
+                        row = (k, *e[:4])
+                        out.append((*row, e.clave, e.padre_tabla, e.padre_clave, _values(e.valor, plan, e.lista)) if values else row)
             yield pd.DataFrame(out, columns=names)
 
     return spread(records.select(key, column), key).mapInPandas(run, schema)
 
 
+def rejects(records: DataFrame, column: str, key: str, shape: Shape = Shape()) -> DataFrame:
+    """key and motivo of every record without rows: null, blank, incomplete, too deep, or a value without an object. Once a record."""
+    schema = T.StructType([records.schema[key], T.StructField("motivo", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, text in zip(pdf[key], pdf[column]):
+                value, why = _read(text)
+                if why or not isinstance(record_in(value, shape), dict):
+                    out.append((k, why or "sin objeto"))
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return spread(records.select(key, column), key).mapInPandas(run, schema).distinct()
+
+
+def _text(value: Any) -> str:
+    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+
 def _values(element: Any, plan: Plan, lista: str) -> dict[str, str]:
+    if lista == OPEN:
+        return {"clave": element["clave"], "valor": _text(element["valor"])}
     if not isinstance(element, dict):
-        return {"valor": element if isinstance(element, str) else json.dumps(element, ensure_ascii=False)}
+        return {"valor": _text(element)}
     got = {}
     for column, path in plan.inlined[lista]:
         if (known := plan.named.get((lista, path))) is not None:
@@ -285,16 +403,23 @@ def _values(element: Any, plan: Plan, lista: str) -> dict[str, str]:
         else:
             v = _at(element, path)
         if v is not None:
-            got[column] = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+            got[column] = _text(v)
     return got
 
 
 def flat_table(rows: DataFrame, plan: Plan, lista: str, key: str) -> DataFrame:
-    """One relation of ``shred``: its foreign key and a column for each inlined scalar. Names that clash with the key's get ``_``."""
-    taken = {key, "padre_lista", "padre_pos", "pos"}
+    """One relation of ``shred``: its keys and a column for each inlined scalar. Names that clash with the keys' get ``_``."""
+    keys = [key, "clave", "padre_tabla", "padre_clave", "padre_lista", "padre_pos", "pos"]
     columns = [*(c for c, _ in plan.inlined.get(lista, ())), "valor"]  # a list no record has is an empty table
-    names = {c: (c + "_" if c in taken else c) for c in dict.fromkeys(columns)}
-    return rows.filter(F.col("lista") == lista).select(key, "padre_lista", "padre_pos", "pos", *(F.col("valor")[c].alias(n) for c, n in names.items()))
+    names = {c: (c + "_" if c in keys else c) for c in dict.fromkeys(columns)}
+    return rows.filter(F.col("lista") == lista).select(*keys, *(F.col("valor")[c].alias(n) for c, n in names.items()))
+
+
+def write_tables(rows: DataFrame, plan: Plan, key: str, folder: str) -> None:
+    """Every relation of ``shred`` as Parquet under its name; the records are read once for all of them."""
+    rows = cut(rows)
+    for t in plan.tables:
+        flat_table(rows, plan, t, key).distinct().write.mode("overwrite").parquet(f"{folder}/{'_abierta' if t == OPEN else t}")
 
 
 #: The case documents senders deliver.

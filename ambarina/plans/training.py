@@ -37,11 +37,29 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return N.shred(records, "payload", "registro_id", plan, N.CASE_SHAPE, N.CASE_SHAPE.lists, values=False).distinct()
 
 
+@query
+def p4_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every element of every table of the plan, with its keys; valor is a JSON object of the columns it takes in."""
+    records, plan = _records(spark, d)
+    rows = N.shred(records, "payload", "registro_id", plan, N.CASE_SHAPE)
+    valor = F.to_json(F.map_from_entries(F.sort_array(F.map_entries("valor"))))
+    return rows.select("registro_id", F.col("lista").alias("tabla"), "clave", "padre_tabla", "padre_clave", "pos", valor.alias("valor")).distinct()
+
+
+@query
+def p4_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """Records that give no row, with the reason."""
+    return N.rejects(table(spark, d, "registros"), "payload", "registro_id", N.CASE_SHAPE)
+
+
+ORACLES["p4_rejected"] = """SELECT DISTINCT registro_id, CASE WHEN payload IS NULL THEN 'nulo' WHEN trim(payload) = '' THEN 'vacío' WHEN NOT json_valid(payload) THEN 'incompleto' ELSE 'sin objeto' END AS motivo
+  FROM registros WHERE payload IS NULL OR CASE WHEN json_valid(payload) THEN json_type(payload) NOT IN ('OBJECT', 'ARRAY', 'VARCHAR') ELSE true END"""
+
+
 def _flat(lista: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         records, plan = _records(spark, d)
-        rows = N.shred(records, "payload", "registro_id", plan, N.CASE_SHAPE, tuple({lista, N.CASE_SHAPE.owners.get(lista, lista)} - ({N.ROOT} if lista != N.ROOT else set())))
-        return N.flat_table(rows, plan, lista, "registro_id").distinct()
+        return N.flat_table(N.shred(records, "payload", "registro_id", plan, N.CASE_SHAPE, (lista,)), plan, lista, "registro_id").distinct()
 
     return run
 

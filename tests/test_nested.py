@@ -83,3 +83,47 @@ def test_frequent_keys_stay_columns(spark):
     plan = N.relations(N.schema_graph(df, "payload", open_keys=10))
     got = {r.n: r for r in N.flat_table(N.shred(df, "payload", "n", plan), plan, "caso", "n").collect()}
     assert all(got[i].datos_edad == str(i) and json.loads(got[i]["datos_*"]) == {f"d{i}": i, f"e{i}": {"z": i}} for i in range(20))
+
+
+def test_keys_tell_every_element_apart(spark):
+    """Children three levels down, of different phases at the same position, have different parents; every parent key is a row's."""
+    phases = [{"fase": f, "dialogos": [{"rol": "r", "marcas": [{"t": 1}, {"t": 2}]}]} for f in "ab"]
+    docs = [{"id": "a", "transcripcion": phases, "sintomas": {"1": {"marcas": ["x"]}, "01": {"y": 1}}}, {"caso": {"transcripcion": {"a": [{"marcas": [{"t": 3}]}]}}, "extra": [1]}]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(docs)] * 2, "id long, payload string")
+    plan = N.relations(N.schema_graph(df, "payload", N.CASE_SHAPE))
+    rows = N.shred(df, "payload", "id", plan, N.CASE_SHAPE).select("id", "lista", "clave", "padre_tabla", "padre_clave").distinct().collect()
+    assert len({(r.id, r.clave) for r in rows}) == len(rows)
+    there = {(r.id, r.lista, r.clave) for r in rows}
+    assert all((r.id, r.padre_tabla, r.padre_clave) in there for r in rows if r.lista != "caso")
+    assert {r.padre_clave for r in rows if r.lista == "marcas" and r.id == 0} == {"/transcripcion/0/dialogos/0", "/transcripcion/1/dialogos/0", "/sintomas/1"}
+    assert sum(r.lista == "marcas" for r in rows) == 6
+
+
+def test_private_keys_drop_nothing(spark):
+    """400 records, each with keys of its own: scalars, objects and lists; all rows come, however many records there are."""
+    docs = [{"id": i, f"k{i}": i, f"o{i}": {"a": {"b": 1}}, f"l{i}": [{"c": 1}, None, 5], "sintomas": ["s"], "medicamentos": [{"nombre": "m", f"x{i}": [1]}], "notas": ["n"]} for i in range(400)]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(docs)], "n long, payload string")
+    graph = N.schema_graph(df, "payload", N.CASE_SHAPE)
+    plan = N.relations(graph)
+    assert graph.count() < 20
+    got = {r.lista: r["count"] for r in N.shred(df, "payload", "n", plan, N.CASE_SHAPE).groupBy("lista").count().collect()}
+    assert got == {"caso": 400, "sintomas": 400, "medicamentos": 400, "notas": 400, "*": 400 * (1 + 1 + 2 + 1)}  # o, its a, two of l, one of x
+    row = [r for r in N.flat_table(N.shred(df, "payload", "n", plan, N.CASE_SHAPE), plan, "*", "n").filter("n = 7").collect() if r.clave_ == "x7"]
+    assert [(r.padre_tabla, r.padre_clave, r.valor) for r in row] == [("medicamentos", "/medicamentos/0", "1")]
+
+
+def test_rows_and_rejects_are_all_records(spark, tmp_path):
+    texts = [json.dumps({"sintomas": ["a"]}), None, "", " \n", '{"a": ', "null", "[1, 2]", '"x"', json.dumps(json.dumps({"id": 1})), '{"a": NaN}', "[" * 100_000 + "]" * 100_000, "{}", "[[{}]]"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] * 2, "id long, payload string, motivo string")
+    plan = N.relations(N.schema_graph(df, "payload", N.CASE_SHAPE))
+    bad = {r.id: r.motivo for r in N.rejects(df, "payload", "id", N.CASE_SHAPE).collect()}
+    assert bad == {1: "nulo", 2: "vacío", 3: "vacío", 4: "incompleto", 5: "sin objeto", 6: "sin objeto", 7: "incompleto", 9: "número que no es JSON", 10: "demasiado profundo", 12: "sin objeto"}
+    rows = N.shred(df, "payload", "id", plan, N.CASE_SHAPE)
+    assert {r.id for r in rows.filter("lista = 'caso'").collect()} | set(bad) == set(range(len(texts)))
+    N.write_tables(rows, plan, "id", str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "caso")).count() == 3 and spark.read.parquet(str(tmp_path / "sintomas")).first().valor == "a"
+
+
+def test_a_wrapper_named_as_the_root_is_no_element():
+    value = {"caso": {"sintomas": ["a"], "caso": {"x": 1}}}
+    assert [(e.lista, e.clave, e.padre_clave) for e in N.linked(value, N.CASE_SHAPE, LISTS | {"caso"})] == [("caso", "", None), ("sintomas", "/caso/sintomas/0", ""), ("caso", "/caso/caso/0", "")]
