@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 from ..sources.tables import spread
 
 #: How units are spelled, after ``normal`` (lower case, no accents, no dots after letters). Symbols of the units table count too; ``_`` stands for a blank, which may be missing.
@@ -176,39 +177,56 @@ def read_vitals(vitals: DataFrame, units: DataFrame) -> DataFrame:
 
     The unit is that of ``unidad``, else ``unitem``, else the text; blank and ``-`` are none; a spelling of another magnitude is none.
     Without ``valor`` the amount is the number before a unit in the text, else its first number that is no time, interval or part of a
-    name. Kinds of reading that are not known are left out, as are rows without an amount. Redelivered rows repeat their content.
+    name. Kinds of reading that are not known have no magnitude and are not here, as are rows without an amount: ``unread_vitals`` has
+    both. Redelivered rows repeat their content.
     """
+    return _read_vitals(vitals, units).filter("valor is not null and magnitud is not null")
+
+
+def unread_vitals(vitals: DataFrame, units: DataFrame) -> DataFrame:
+    """lectura_id and motivo of the readings that ``read_vitals`` leaves out."""
+    left = _read_vitals(vitals, units).filter("valor is null or magnitud is null")
+    return left.select("lectura_id", F.when(F.col("magnitud").isNull(), "clase desconocida").otherwise("sin cantidad").alias("motivo")).distinct()
+
+
+def _read_vitals(vitals: DataFrame, units: DataFrame) -> DataFrame:
     own = spellings(units)
     kinds = {k: m for k, (m, _, _) in KINDS.items() if m in own}
     clase = F.regexp_replace(F.col("nombre"), "^tension_", "presion_")
-    v = vitals.select("lectura_id", clase.alias("clase"), "valor", "unidad", "unitem", "texto").filter(F.col("clase").isin(*kinds))
+    magnitude = F.try_element_at(F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv)), F.col("clase")) if kinds else F.lit(None).cast("string")
+    v = vitals.select("lectura_id", clase.alias("clase"), "valor", "unidad", "unitem", "texto").withColumn("magnitud", magnitude)
+    columns = ["lectura_id", "clase", "magnitud", "valor", "dicha", "fuente"]
+    # an amount and a unit written as the list writes it need no reading; what else there is goes through Reader
+    written = F.create_map(*(F.lit(x) for m in sorted(own) for s, u in sorted(own[m].items()) for x in (f"{m} {s}", u))) if own else None
+    said = F.try_element_at(written, F.concat_ws(" ", "magnitud", F.lower(F.trim("unidad")))) if own else F.lit(None).cast("string")
+    v = v.withColumn("dicha", F.when(F.col("valor").isNotNull() & ~F.isnan("valor") & F.col("magnitud").isNotNull(), said))
+    plain = v.filter("dicha is not null or magnitud is null").withColumn("fuente", F.when(F.col("dicha").isNotNull(), "columna").otherwise("ninguna")).select(*columns)
+    rest = v.filter("dicha is null and magnitud is not null").select("lectura_id", "clase", "magnitud", "valor", "unidad", "unitem", "texto")
     schema = T.StructType([v.schema["lectura_id"], *(T.StructField(n, t) for n, t in (("clase", T.StringType()), ("magnitud", T.StringType()), ("valor", T.DoubleType()), ("dicha", T.StringType()), ("fuente", T.StringType())))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         readers = {m: Reader(own[m]) for m in dict.fromkeys(kinds.values())}
         for pdf in batches:
             out = []
-            for key, kind, value, unit, unit2, text in pdf.itertuples(index=False):
-                r = readers[kinds[kind]]
+            for key, kind, magnitude, value, unit, unit2, text in pdf.itertuples(index=False):
+                r = readers[magnitude]
                 said, source = r.unit(normal(unit)) or r.unit(normal(unit2)), "columna"
                 missing = value is None or value != value
                 if said and not missing:
-                    out.append((key, kind, kinds[kind], value, said, source))
+                    out.append((key, kind, magnitude, value, said, source))
                     continue
                 plain = _ASIDE.sub(" ", normal(text))
                 if missing:
                     value, _, u = r.find(plain)
                     if value is None:
                         value, u = r.first(plain), None
-                    if value is None:
-                        continue
                     said, source = (said, source) if said else (u, "texto")
                 elif said is None:
                     said, source = r.cue(plain), "texto"
-                out.append((key, kind, kinds[kind], value, said, source if said else "ninguna"))
+                out.append((key, kind, magnitude, value, said, source if said else "ninguna"))
             yield pd.DataFrame(out, columns=schema.names)
 
-    return spread(v, "lectura_id").mapInPandas(run, schema).distinct()
+    return plain.unionByName(spread(rest, "lectura_id").mapInPandas(run, schema)).distinct()
 
 
 def read_doses(doses: DataFrame, units: DataFrame) -> DataFrame:
@@ -216,8 +234,17 @@ def read_doses(doses: DataFrame, units: DataFrame) -> DataFrame:
 
     The dose is what ``dosis`` says; its unit may be given in ``posologia``; where ``dosis`` has no number the first amount with a unit
     in those clauses of ``posologia`` that speak of the dose. Counts of tablets are no amounts. A number whose unit is nowhere has a
-    null unit and the magnitude of mass.
+    null unit and the magnitude of mass. ``unread_doses`` has the rows without a dose.
     """
+    return _read_doses(doses, units).filter("valor is not null")
+
+
+def unread_doses(doses: DataFrame, units: DataFrame) -> DataFrame:
+    """medicacion_id and motivo of the rows that ``read_doses`` leaves out."""
+    return _read_doses(doses, units).filter("valor is null").select("medicacion_id", F.lit("sin cantidad").alias("motivo")).distinct()
+
+
+def _read_doses(doses: DataFrame, units: DataFrame) -> DataFrame:
     own = spellings(units)
     every: dict[str, str] = {}
     for m in DOSES:
@@ -248,8 +275,7 @@ def read_doses(doses: DataFrame, units: DataFrame) -> DataFrame:
                         low, high = low2, high2
                     else:
                         unit = unit or r.cue(rest)
-                if low is not None:
-                    out.append((key, magnitude.get(unit, DOSES[0]), low, high, unit, source if unit else "ninguna"))
+                out.append((key, magnitude.get(unit, DOSES[0]), low, high, unit, source if unit else "ninguna"))
             yield pd.DataFrame(out, columns=schema.names)
 
     return spread(doses.select("medicacion_id", "dosis", "posologia"), "medicacion_id").mapInPandas(run, schema).distinct()
@@ -340,8 +366,9 @@ def fit(hist: list[tuple[str, str, str | None, int, int]], units: dict[str, list
 def assign(readings: DataFrame, fits: dict[str, Fit], units: dict[str, list[Unit]], kind: str = "clase", sure: float = SURE, keep_common_unless_sure: bool = False) -> DataFrame:
     """Readings with unidad_id, comun (the amount in the common unit), posterior, incierto, juicio (dicha, corregida or inferida).
 
-    A stated unit stands unless another is surer than ``sure``; amounts that are not positive keep their stated (or common) unit and
-    are uncertain. A kind without a fit keeps what is stated. Ties fall to the common unit.
+    A stated unit stands unless another is surer than ``sure``; one that another is likelier than, though not so surely, is uncertain, as
+    is an inferred one below SURE. Amounts that are not positive keep their stated (or common) unit and are uncertain. A kind without a
+    fit keeps what is stated. Ties fall to the common unit. ``posterior`` is that of the likeliest unit.
     """
     spark = readings.sparkSession
     rows = []
@@ -372,7 +399,8 @@ def assign(readings: DataFrame, fits: dict[str, Fit], units: dict[str, list[Unit
     if keep_common_unless_sure:
         df = df.withColumn("unidad_id", F.when((F.col("juicio") == "inferida") & (F.col("posterior") < SURE), F.col("__default")).otherwise(F.col("unidad_id")))
     df = df.join(F.broadcast(table.select(F.col("__u").alias("unidad_id"), "__f", "__s")), "unidad_id", "left")
-    unsure = F.when(F.col("juicio") == "dicha", F.col("valor") <= 0).otherwise(F.coalesce(F.col("posterior") < SURE, F.lit(True)))
+    doubted = (F.col("valor") <= 0) | F.coalesce((F.col("__best") != F.col("dicha")) & F.lit(sure <= 1), F.lit(False))
+    unsure = F.when(F.col("juicio") == "dicha", doubted).otherwise(F.coalesce(F.col("posterior") < SURE, F.lit(True)))
     return df.select(*readings.columns, "unidad_id", (F.col("valor") * F.col("__f") + F.col("__s")).alias("comun"), "posterior", unsure.alias("incierto"), "juicio")
 
 
@@ -381,13 +409,13 @@ def bounds() -> dict[str, tuple[float, float]]:
 
 
 def vitals_in_common_units(vitals: DataFrame, units: DataFrame) -> DataFrame:
-    us, r = units_of(units), read_vitals(vitals, units)
+    us, r = units_of(units), cut(read_vitals(vitals, units))  # read once, used by the fit and by the assignment
     fits = fit([tuple(x) for x in histogram(r).collect()], us, bounds())
     return assign(r, fits, us)
 
 
 def doses_in_common_units(doses: DataFrame, units: DataFrame) -> DataFrame:
     """The same for doses; the kind is the magnitude, there are no plausible bounds, and a stated unit always stands."""
-    us, r = units_of(units), read_doses(doses, units).withColumn("clase", F.col("magnitud"))
+    us, r = units_of(units), cut(read_doses(doses, units).withColumn("clase", F.col("magnitud")))
     fits = fit([tuple(x) for x in histogram(r).collect()], us, {})
     return assign(r, fits, us, sure=1.1, keep_common_unless_sure=True)

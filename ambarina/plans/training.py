@@ -78,6 +78,14 @@ def p5_amounts(spark: SparkSession, d: str) -> DataFrame:
     return v.select(F.lit("constantes").alias("tabla"), F.col("lectura_id").alias("fila_id"), *columns).unionByName(m.select(F.lit("medicaciones").alias("tabla"), F.col("medicacion_id").alias("fila_id"), *columns))
 
 
+@query
+def p5_unread(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that have no place in ``p5_amounts``, with the reason: with it they are all rows of both tables."""
+    units = table(spark, d, "unidades")
+    v = U.unread_vitals(table(spark, d, "constantes"), units).select(F.lit("constantes").alias("tabla"), F.col("lectura_id").alias("fila_id"), "motivo")
+    return v.unionByName(U.unread_doses(table(spark, d, "medicaciones"), units).select(F.lit("medicaciones").alias("tabla"), F.col("medicacion_id").alias("fila_id"), "motivo"))
+
+
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     common = [r.unidad_id for r in table(spark, d, "unidades").filter("es_comun").select("unidad_id").collect()]

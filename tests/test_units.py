@@ -50,3 +50,34 @@ def test_vitals_stated_misstated_and_missing(spark, units):
 def test_empty_tables(spark, units):
     assert U.vitals_in_common_units(spark.createDataFrame([], VITALS), units).count() == 0
     assert U.doses_in_common_units(spark.createDataFrame([], "medicacion_id long, dosis string, posologia string"), units).count() == 0
+
+
+def test_ambiguous_amounts_are_flagged(spark, units):
+    """Weights in kg and lb alike: a bare number that either could be is uncertain, one that only one could be is not; and a statement that
+    the other unit contradicts without being sure stands, flagged."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(2000):
+        kg = rng.gauss(75, 12)
+        rows.append((i, "a", "peso", round(kg if i % 2 else kg / 0.453592, 1), "kg" if i % 2 else "lb", None, None, None))
+    rows += [(9000, "a", "peso", 113.0, None, None, None, None), (9001, "a", "peso", 72.0, None, None, None, None), (9002, "a", "peso", 190.0, None, None, None, None)]
+    rows += [(9004, "a", "perimetro", 90.0, "cm", None, None, None), (9005, "a", None, 90.0, "cm", None, None, None), (9006, "a", "peso", None, "kg", None, "no se toma", None)]
+    df = spark.createDataFrame(rows, VITALS)
+    got = {r.lectura_id: (r.unidad_id, r.juicio, r.incierto) for r in U.vitals_in_common_units(df, units).collect()}
+    assert got[9000][1:] == ("inferida", True) and got[9001] == ("kg", "inferida", False) and got[9002] == ("lb", "inferida", False)
+    # a statement where many are wrong: kept, but doubted
+    fits = {"peso": U.Fit(4.317, 0.16, {"kg": 0.5, "lb": 0.5}, 0.2, 25.0, 300.0)}
+    said = spark.createDataFrame([(1, "peso", "masa_corporal", 118.0, "kg"), (2, "peso", "masa_corporal", 80.0, "kg"), (3, "peso", "masa_corporal", 230.0, "kg")], "lectura_id long, clase string, magnitud string, valor double, dicha string")
+    assert {r.lectura_id: (r.unidad_id, r.juicio, r.incierto) for r in U.assign(said, fits, U.units_of(units)).collect()} == {1: ("kg", "dicha", True), 2: ("kg", "dicha", False), 3: ("lb", "corregida", False)}
+    assert {r.lectura_id: r.motivo for r in U.unread_vitals(df, units).collect()} == {9004: "clase desconocida", 9005: "clase desconocida", 9006: "sin cantidad"}
+
+
+def test_doses_without_units_by_the_mixture(spark, units):
+    rng = random.Random(2)
+    rows = [(i, f"{rng.choice([250, 400, 500, 650, 750, 1000])} mg" if i % 3 else f"{rng.choice(['0,5', '1', '0,25'])} g", None) for i in range(900)]
+    rows += [(9000, "500", None), (9001, "0,5", "tras las comidas"), (9002, "650", ""), (9003, None, "con agua")]
+    df = spark.createDataFrame(rows, "medicacion_id long, dosis string, posologia string")
+    got = {r.medicacion_id: r for r in U.doses_in_common_units(df, units).collect()}
+    assert [(got[i].unidad_id, got[i].juicio) for i in (9000, 9001, 9002)] == [("mg", "inferida"), ("g", "inferida"), ("mg", "inferida")]
+    assert abs(got[9001].comun - 500) < 1e-9 and not got[9001].incierto
+    assert [tuple(r) for r in U.unread_doses(df, units).collect()] == [(9003, "sin cantidad")] and len(got) == 903
