@@ -67,7 +67,7 @@ def test_ambiguous_amounts_are_flagged(spark, units):
     assert got[9000][1:] == ("inferida", True) and got[9001] == ("kg", "inferida", False) and got[9002] == ("lb", "inferida", False)
     # a statement where many are wrong: kept, but doubted
     fits = {"peso": U.Fit(4.317, 0.16, {"kg": 0.5, "lb": 0.5}, 0.2, 25.0, 300.0)}
-    said = spark.createDataFrame([(1, "peso", "masa_corporal", 118.0, "kg"), (2, "peso", "masa_corporal", 80.0, "kg"), (3, "peso", "masa_corporal", 230.0, "kg")], "lectura_id long, clase string, magnitud string, valor double, dicha string")
+    said = spark.createDataFrame([(1, "peso", "masa_corporal", 118.0, "kg"), (2, "peso", "masa_corporal", 80.0, "kg"), (3, "peso", "masa_corporal", 165.0, "kg")], "lectura_id long, clase string, magnitud string, valor double, dicha string")
     assert {r.lectura_id: (r.unidad_id, r.juicio, r.incierto) for r in U.assign(said, fits, U.units_of(units)).collect()} == {1: ("kg", "dicha", True), 2: ("kg", "dicha", False), 3: ("lb", "corregida", False)}
     assert {r.lectura_id: r.motivo for r in U.unread_vitals(df, units).collect()} == {9004: "clase desconocida", 9005: "clase desconocida", 9006: "sin cantidad"}
 
