@@ -125,6 +125,7 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The categories that the repaired sample leaves short for want of records."""
     return p2_shares(spark, d).filter("corto").select("plan_id", "categoria").distinct()
 
 

@@ -3,7 +3,10 @@
 Records are grouped by their signature, the categories they fall in for the fields of a plan. A random sample of the wanted size that
 meets the floors is drawn as counts of signatures; then counts are exchanged between two signatures, always the exchange that lowers the
 deviation from the target counts most, until none lowers it. Last, each signature's records are drawn at random: those whose hashes are
-lowest. What cannot be met is reported.
+lowest. What the repaired sample misses is reported with the reason.
+
+A category with fewer records than it needs has all of them as its floor. Floors that cannot all be met (together they exceed the size, or
+contradict each other) are first repaired by the same exchanges until no exchange lowers what they lack; the sample keeps its size.
 
 Only counts of signatures reach the driver: as many as combinations of listed categories occur. Drawing n of a signature of N records
 takes no window over the signature: a histogram of 4096 hash ranges finds the range in which the n-th lies, and only it is ranked.
@@ -91,56 +94,111 @@ def signatures(cases: DataFrame, plans: list[Plan], key: str = "id") -> DataFram
     return out.groupBy(F.col("__k").alias(key), "plan_id").agg(best.alias("firma")).withColumn("firma", F.slice("firma", F.lit(1), trim))
 
 
+class Counts:
+    """Counts of signatures and of the categories they fall in; the best exchange of one record between two signatures.
+
+    An exchange a -> b changes only the categories in which the two differ. For a set M of fields in which b agrees with a, the best b is
+    the least of its group by the categories of M; the least over all M is the best of all. So a step looks at every signature once for
+    each M and holds no matrix of pairs: n signatures of f fields take n * 2 ** f.
+    """
+
+    def __init__(self, sigs: list[tuple], have: np.ndarray):
+        self.have, self.x = have, np.zeros(len(sigs), dtype=np.int64)
+        self.width = len(sigs[0])
+        cats: dict[tuple, int] = {}
+        self.of = np.array([[cats.setdefault((i, c), len(cats)) for i, c in enumerate(s)] for s in sigs], dtype=np.int64).reshape(len(sigs), self.width)
+        self.cats = cats
+        self.groups = []  # of each M: its fields, and the signatures in the order of their groups
+        for m in range(2**self.width):
+            fields = [i for i in range(self.width) if m >> i & 1]
+            group = np.unique(self.of[:, fields], axis=0, return_inverse=True)[1].ravel() if fields else np.zeros(len(sigs), dtype=np.int64)
+            order = np.argsort(group, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(group[order]) > 0])
+            self.groups.append((fields, group, order, starts))
+
+    def by_category(self) -> np.ndarray:
+        return np.bincount(self.of.ravel(), weights=np.repeat(self.x, self.width), minlength=len(self.cats)).round().astype(np.int64)
+
+    def best(self, more: np.ndarray, less: np.ndarray, tight: np.ndarray) -> tuple[float, int, int]:
+        """(change, a, b) of the exchange of least change; ``more`` and ``less``: the change by one record more or less in a category, ``tight``:
+        categories that may not lose one."""
+        gives, takes = self.x > 0, self.x < self.have
+        b_cost, a_cost = np.where(takes, more[self.of].sum(1), np.inf), np.where(gives, less[self.of].sum(1), np.inf)
+        held, same = tight[self.of], (more + less)[self.of]
+        out = (0.0, -1, -1)
+        for fields, group, order, starts in self.groups:
+            rest = [i for i in range(self.width) if i not in fields]
+            may = ~held[:, rest].any(1) if rest else np.ones(len(self.x), bool)
+            least = np.minimum.reduceat(b_cost[order], starts)
+            change = np.where(may, a_cost + least[group] - (same[:, fields].sum(1) if fields else 0), np.inf)
+            a = int(np.argmin(change))
+            if change[a] < out[0]:
+                own = order[starts[group[a]] : (starts[group[a] + 1] if group[a] + 1 < len(starts) else None)]
+                out = (float(change[a]), a, int(own[np.argmin(b_cost[own])]))
+        return out
+
+    def exchange(self, a: int, b: int, f, n: np.ndarray, lo: np.ndarray) -> None:
+        """Moves from a to b as many records as lower the sum of ``f`` most, no category that loses any falling below ``lo``."""
+        out, into = self.of[a][self.of[a] != self.of[b]], self.of[b][self.of[a] != self.of[b]]
+        most = int(min(self.x[a], self.have[b] - self.x[b], *(n[out] - lo[out])))
+        value = lambda s: f(out, n[out] - s).sum() + f(into, n[into] + s).sum()
+        low, high = 1, most
+        while low < high:  # the sum is convex in the number
+            mid = (low + high) // 2
+            low, high = (low, mid) if value(mid) <= value(mid + 1) else (mid + 1, high)
+        self.x[a] -= low
+        self.x[b] += low
+        n[out] -= low
+        n[into] += low
+
+
 def repair(plan: Plan, sizes: dict[tuple, int], seed: int = 0) -> dict[tuple, int]:
-    """How many records of each signature to draw."""
+    """How many records of each signature to draw: never more than the plan's size, and as many as there are if there are fewer."""
     rng = np.random.default_rng([seed, plan.plan_id & 0xFFFFFFFF])
     sigs = sorted(sizes, key=str)
-    have = np.array([sizes[s] for s in sigs], dtype=np.int64)
-    if not len(sigs):
+    if not sigs:
         return {}
-    size = int(min(plan.size, have.sum()))
-    # membership of signatures in categories; a field's rest, of records in none of its categories, has what the shares leave
-    member, goal, floor = [], [], []
-    for i, f in enumerate(sorted(plan.fields)):
-        for c, (share, least) in plan.fields[f].items():
-            member.append([s[i] == c for s in sigs])
-            goal.append(share * plan.size)
-            floor.append(min(least, int(have[np.array(member[-1], bool)].sum())))
-        member.append([s[i] is None for s in sigs])
-        goal.append(max(0.0, 1 - sum(q for q, _ in plan.fields[f].values())) * plan.size)
-        floor.append(0)
-    m, t, lo = np.array(member, float), np.array(goal), np.array(floor)
-    x = np.zeros(len(sigs), dtype=np.int64)
-    for c in np.argsort(m @ have):  # floors, the scarcest category first
-        lack = int(lo[c] - m[c] @ x)
-        if lack > 0 and (room := np.where(m[c] > 0, have - x, 0)).sum():
-            x += rng.multivariate_hypergeometric(room, min(lack, int(room.sum())), method="marginals")
-    if (rest := size - int(x.sum())) > 0:
-        x += rng.multivariate_hypergeometric(have - x, rest, method="marginals")
-    # deviations count relative to their target, so that a surplus spreads in proportion
+    c = Counts(sigs, np.array([sizes[s] for s in sigs], dtype=np.int64))
+    size = int(min(plan.size, c.have.sum()))
+    c.x = c.have.copy()
+    there = c.by_category()
+    # targets and floors; a field's rest, of records in none of its categories, has what the shares leave
+    t, lo = np.zeros(len(c.cats)), np.zeros(len(c.cats), dtype=np.int64)
+    for (i, name), k in c.cats.items():
+        of = plan.fields[sorted(plan.fields)[i]]
+        if name is None:
+            t[k] = max(0.0, 1 - sum(q for q, _ in of.values())) * plan.size
+        else:
+            share, least = of[name]
+            t[k], lo[k] = share * plan.size, there[k] if there[k] < needed(plan, share, least) else least
+    c.x = np.zeros(len(sigs), dtype=np.int64)
+    for k in np.argsort(there, kind="stable"):  # floors, the scarcest category first
+        own = (c.of == k).any(1)
+        lack = min(int(lo[k] - c.x[own].sum()), size - int(c.x.sum()))
+        if lack > 0 and (room := np.where(own, c.have - c.x, 0)).sum():
+            c.x += rng.multivariate_hypergeometric(room, min(lack, int(room.sum())), method="marginals")
+    if (rest := size - int(c.x.sum())) > 0:
+        c.x += rng.multivariate_hypergeometric(c.have - c.x, rest, method="marginals")
+    n = c.by_category()
+    # what the floors lack: whole numbers, so every exchange lowers a whole number and the loop ends
+    lacks = lambda k, v: np.maximum(lo[k] - v, 0) ** 2
+    every, none = np.arange(len(t)), np.zeros(len(t), dtype=np.int64)
+    while True:
+        change, a, b = c.best(lacks(every, n + 1) - lacks(every, n), lacks(every, n - 1) - lacks(every, n), np.zeros(len(t), bool))
+        if change >= 0:
+            break
+        c.exchange(a, b, lacks, n, none)
+    lo = np.minimum(lo, n)
+    # deviations count relative to their target, so that a surplus spreads in proportion; each exchange lowers their sum, which takes
+    # finitely many values
     w = 1 / np.maximum(t, 1.0)
-    d = (m * w[:, None]).T @ m
-    gap = d.diagonal()[:, None] + d.diagonal()[None, :] - 2 * d  # squared length of the change a -> b
-    for _ in range(100_000):
-        slope = m.T @ (w * (m @ x - t))
-        gain = slope[:, None] - slope[None, :]  # lowering of a move a -> b, to first order
-        spare = np.minimum(x, _above_floor(m, x, lo))
-        most = np.minimum(spare[:, None], (have - x)[None, :])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            step = np.minimum(np.where(gap > 1e-15, np.round(gain / gap), 0), most)
-        lower = np.where(step > 0, 2 * gain * step - gap * step * step, 0)
-        a, b = np.unravel_index(np.argmax(lower), lower.shape)
-        if lower[a, b] <= 1e-12:
+    off = lambda k, v: w[k] * (v - t[k]) ** 2
+    while True:
+        change, a, b = c.best(w * (2 * (n - t) + 1), w * (1 - 2 * (n - t)), n <= lo)
+        if change >= -1e-9 * w.min():
             break
-        x[a] -= int(step[a, b])
-        x[b] += int(step[a, b])
-    return {s: int(n) for s, n in zip(sigs, x) if n}
-
-
-def _above_floor(m: np.ndarray, x: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """Records each signature can give away before a floor is touched."""
-    over = np.maximum(m @ x - lo, 0)
-    return np.where(m > 0, over[:, None], np.inf).min(0).clip(max=np.iinfo(np.int32).max).astype(np.int64)
+        c.exchange(a, b, off, n, lo)
+    return {s: int(v) for s, v in zip(sigs, c.x) if v}
 
 
 def counts_of(signed: DataFrame) -> dict[int, dict[tuple, int]]:
@@ -150,18 +208,28 @@ def counts_of(signed: DataFrame) -> dict[int, dict[tuple, int]]:
     return out
 
 
+SHORT, FLOORS, OTHERS = "faltan registros", "los mínimos no caben", "otras categorías"
+
+
 def report(plans: list[Plan], sizes: dict[int, dict[tuple, int]], drawn: dict[int, dict[tuple, int]], spark) -> DataFrame:
-    """plan_id, campo, categoria, cuota, necesarios, disponibles, tomados, cuota_real, corto: a row a category."""
+    """plan_id, campo, categoria, cuota, necesarios, disponibles, tomados, cuota_real, corto, motivo: a row a category.
+
+    ``motivo`` says why the repaired sample has fewer than needed, null if it has not: too few records exist (``corto``), the floors of the
+    plan exceed its size or contradict each other, or the targets and floors of other categories leave no more.
+    """
     rows = []
     for p in plans:
         total = sum(drawn.get(p.plan_id, {}).values())
         for i, f in enumerate(sorted(p.fields)):
+            have, took = defaultdict(int), defaultdict(int)
+            for tally, of in ((have, sizes), (took, drawn)):
+                for s, n in of.get(p.plan_id, {}).items():
+                    tally[s[i]] += n
             for c, (share, floor) in p.fields[f].items():
-                have = sum(n for s, n in sizes.get(p.plan_id, {}).items() if s[i] == c)
-                took = sum(n for s, n in drawn.get(p.plan_id, {}).items() if s[i] == c)
                 need = needed(p, share, floor)
-                rows.append((p.plan_id, f, c, float(share), need, have, took, took / total if total else 0.0, have < need))
-    return spark.createDataFrame(rows, "plan_id int, campo string, categoria string, cuota double, necesarios long, disponibles long, tomados long, cuota_real double, corto boolean")
+                why = None if took[c] >= need else SHORT if have[c] < need else FLOORS if took[c] < floor else OTHERS
+                rows.append((p.plan_id, f, c, float(share), need, have[c], took[c], took[c] / total if total else 0.0, why == SHORT, why))
+    return spark.createDataFrame(rows, "plan_id int, campo string, categoria string, cuota double, necesarios long, disponibles long, tomados long, cuota_real double, corto boolean, motivo string")
 
 
 def draw(signed: DataFrame, wanted: dict[int, dict[tuple, int]], key: str = "id", seed: int = 0) -> DataFrame:

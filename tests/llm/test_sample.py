@@ -57,3 +57,60 @@ def test_empty(spark):
     assert wanted == {1: {}, 2: {}} and report.filter("corto").count() == 7
     signed, wanted, report = S.solve(cases(spark), quotas(spark).limit(0))
     assert wanted == {} and report.count() == 0
+
+
+def dense(plan, sizes, x):
+    """(what the floors lack, weighted deviation) of a sample, by definition."""
+    lack = off = 0.0
+    for i, f in enumerate(sorted(plan.fields)):
+        of = plan.fields[f]
+        for c in {s[i] for s in sizes}:
+            have, n = (sum(v for s, v in d.items() if s[i] == c) for d in (sizes, x))
+            share, least = of.get(c, (max(0.0, 1 - sum(q for q, _ in of.values())), 0))
+            lo = (have if have < S.needed(plan, share, least) else least) if c is not None else 0
+            lack += max(0, lo - n) ** 2
+            off += (n - share * plan.size) ** 2 / max(share * plan.size, 1.0)
+    return lack, off
+
+
+def test_no_exchange_improves():
+    """Brute force over all pairs: none lowers the deviation without falling below a floor."""
+    import random
+
+    rng = random.Random(6)
+    for trial in range(12):
+        fields = {f: {c: (rng.random() / 4, rng.choice([0, 0, 2, 9])) for c in "pqrs"[: rng.randint(2, 4)]} for f in "ab"[: rng.randint(1, 2)]}
+        plan = S.Plan(trial, rng.randint(10, 60), fields)
+        sizes = {}
+        for _ in range(30):
+            sizes[tuple(rng.choice([*fields[f], None]) for f in sorted(fields))] = rng.randint(0, 25)
+        x = S.repair(plan, sizes)
+        assert sum(x.values()) == min(plan.size, sum(sizes.values())) and all(n <= sizes[s] for s, n in x.items())
+        lack, off = dense(plan, sizes, x)
+        for a in [s for s in x if x[s]]:
+            for b in [s for s in sizes if x.get(s, 0) < sizes[s] and s != a]:
+                lack2, off2 = dense(plan, sizes, x | {a: x[a] - 1, b: x.get(b, 0) + 1})
+                assert lack2 >= lack and (lack2 > lack or off2 >= off - 1e-9 or lack > 0)
+
+
+def test_floors_beyond_the_size_are_reported(spark):
+    plan = S.Plan(1, 10, {"a": {"x": (0.5, 8), "y": (0.5, 8)}})
+    sizes = {("x",): 50, ("y",): 50}
+    got = S.repair(plan, sizes)
+    assert got == {("x",): 5, ("y",): 5}
+    assert {(r.categoria, r.motivo, r.corto) for r in S.report([plan], {1: sizes}, {1: got}, spark).collect()} == {("x", S.FLOORS, False), ("y", S.FLOORS, False)}
+    plan = S.Plan(2, 10, {"a": {"x": (0.6, 0), "y": (0.4, 8)}})
+    assert {(r.categoria, r.tomados, r.motivo) for r in S.report([plan], {2: sizes}, {2: S.repair(plan, sizes)}, spark).collect()} == {("x", 2, S.OTHERS), ("y", 8, None)}
+
+
+def test_many_signatures():
+    import random
+    import time
+
+    rng = random.Random(1)
+    fields = {f: {str(c): (1 / 110, 3) for c in range(100)} for f in "ab"}
+    sizes = {(str(a), str(b)): rng.randint(1, 9) for a in range(100) for b in range(100)}
+    plan, began = S.Plan(1, 5000, fields), time.time()
+    x = S.repair(plan, sizes)
+    assert time.time() - began < 10 and sum(x.values()) == 5000
+    assert all(abs(sum(n for s, n in x.items() if s[i] == str(c)) - 5000 / 110) <= 5 for i in (0, 1) for c in range(100))
