@@ -2,19 +2,20 @@
 
 An item of L characters with limit M and overlap O needs at least n = ceil((L - O) / (M - O)) pieces. Targets for the piece ends are
 spaced equally, step (L - O) / n apart; each is snapped to the strongest boundary within a fifth of a step of it (the nearest of equal
-ones). Windows of neighbouring targets never meet, so every cut is found on its own. If any piece is above the limit, pieces are added
-(n + 1, n + 2, n + 4 ...) and the item is cut anew; at a step of (M - O) / 1.4 no piece can fail.
+ones). Windows of neighbouring targets never meet, so every cut is found on its own. If any piece is above the limit a piece is added and
+the item is cut anew, through every count from n upward; at a step of (M - O) / 1.4 no piece can fail.
 
 A piece starts exactly O characters before the end of the one before. Lengths and positions are Unicode code points of the stored text.
+Windows are whole numbers, so that what a turn's end just misses is never missed by both of its neighbours.
 
-Two kinds of item: single texts, cut within their row; and dialogues, whose text is all turns in order. No task ever holds a
-dialogue: offsets are two-level prefix sums, cuts are found turn by turn and meet in aggregates keyed by (case, count, piece), so a case
-that holds a third of all turns is spread like any other rows.
+Two kinds of item: single texts, cut within their row; and dialogues, whose text is all turns in order. No task ever holds a dialogue:
+offsets are two-level prefix sums, cuts are found turn by turn and meet in aggregates keyed by (case, count, piece), so a case that holds
+a third of all turns is spread like any other rows. Dialogues are cut at n first; those that fail go on, in rounds over the next counts
+(``_tries``).
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -24,18 +25,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.packing import stretches
 from ..session import cut
 
 #: Strength of a boundary.
 CHAR, WORD, SENTENCE, LINE, TURN = range(5)
-#: A target's window, in steps to either side.
-REACH = 0.2
+#: A target's window is a step divided by REACH to either side.
+REACH = 5
 #: A limit no text reaches, without overlap.
 NO_LIMIT = (2**31 - 2, 0)
 #: The least room for new text in a piece.
 LEAST_ROOM = 16
-#: Turns in a block of the prefix sums.
-BLOCK = 4096
+#: Counts above the least that dialogues try one by one; a dialogue that none of them fits (it has more than 160 pieces) goes on in steps
+#: that double, up to the count that cannot fail.
+ONE_BY_ONE = 64
 
 _LINE = re.compile(r"(?:\r\n|[\n\r\v\f\x85  ])+[^\S\n\r]*")
 _SENTENCE = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*\s+")
@@ -68,15 +71,19 @@ def snap(text: str, low: int, high: int, target: float) -> tuple[int, int]:
     return at, CHAR
 
 
-def counts(length: int, limit: int, overlap: int) -> list[int]:
-    """The piece counts to try, from the least to one that cannot fail."""
-    room = limit - overlap
-    least, sure = math.ceil((length - overlap) / room), math.ceil((length - overlap) / ((room - 1) / (1 + 2 * REACH)))
-    out, add = [least], 1
-    while least + add < sure:
-        out.append(least + add)
-        add *= 2
-    return out if sure == least else [*out, sure]
+def least_count(length: int, limit: int, overlap: int) -> int:
+    return -(-(length - overlap) // (limit - overlap))
+
+
+def sure_count(length: int, limit: int, overlap: int) -> int:
+    """A count that cannot fail: a piece is at most 1.4 steps and a rounded character above the overlap."""
+    return -(-(length - overlap) * (REACH + 2) // ((limit - overlap - 1) * REACH))
+
+
+def window(i: int, n: int, length: int, overlap: int) -> tuple[int, int, float]:
+    """(first, last, target) of the positions the i-th of n - 1 cuts may take."""
+    new = length - overlap
+    return overlap - -(REACH * i * new - new) // (REACH * n), overlap + (REACH * i * new + new) // (REACH * n), overlap + i * new / n
 
 
 def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
@@ -86,18 +93,15 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]
     length = len(text)
     if length <= limit:
         return [(0, length, TURN)]
-    for n in counts(length, limit, overlap):
-        step = (length - overlap) / n
-        ends: list[tuple[int, int]] = []
-        for i in range(1, n):
-            t = overlap + i * step
-            ends.append(snap(text, math.ceil(t - REACH * step), math.floor(t + REACH * step), t))
-        ends.append((length, TURN))
+    for n in range(least_count(length, limit, overlap), sure_count(length, limit, overlap) + 1):
         pieces, start = [], 0
-        for end, strength in ends:
+        for i in range(1, n + 1):
+            end, strength = snap(text, *window(i, n, length, overlap)) if i < n else (length, TURN)
+            if end - start > limit:
+                break
             pieces.append((start, end, strength))
             start = end - overlap
-        if all(e - s <= limit for s, e, _ in pieces):
+        else:
             return pieces
     raise AssertionError("the last count cannot fail")
 
@@ -127,23 +131,35 @@ def split_texts(df: DataFrame, limit: int, overlap: int, keys: tuple[str, ...],
 # ------------------------------------------------------------------------------------------------ dialogues
 
 
-def _offsets(sizes: DataFrame) -> DataFrame:
-    """case_id, seq, n and ``at``, the characters of the case before the turn. Windows see at most a block of turns, then one row a block."""
-    b = sizes.withColumn("__b", F.floor(F.col("seq") / BLOCK))
-    within = Window.partitionBy("case_id", "__b").orderBy("seq", "n").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("case_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = b.groupBy("case_id", "__b").agg(F.sum("n").alias("__s")).withColumn("__o", F.coalesce(F.sum("__s").over(before), F.lit(0)))
-    local = b.withColumn("__l", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    return local.join(blocks.select("case_id", "__b", "__o"), ["case_id", "__b"]).select(*sizes.columns, (F.col("__o") + F.col("__l")).alias("at"))
-
-
-def _tries(total: Column, limit: int, overlap: int) -> Column:
-    """``counts`` as an expression: an array of longs."""
-    room = limit - overlap
-    least = F.ceil((total - overlap) / F.lit(float(room))).cast("long")
-    sure = F.ceil((total - overlap) / F.lit((room - 1) / (1 + 2 * REACH))).cast("long")
-    more = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda k: least + F.pow(F.lit(2.0), k).cast("long"))
-    return F.array_distinct(F.concat(F.array(least), F.filter(more, lambda n: n < sure), F.array(sure)))
+def _placed(turns: DataFrame, limit: int) -> DataFrame:
+    """case_id, seq, n, at and total of the turns of dialogues above ``limit``: the characters of the turn, of the case before it, and of the
+    case. Turns lie in stretches; what is summed over a case is a row a stretch."""
+    known = turns.filter("case_id is not null and seq is not null").select("case_id", "seq", F.coalesce(F.length("texto"), F.lit(0)).cast("long").alias("n"))
+    # of several lengths at one position the last, the longest, counts
+    last = F.filter("__t", lambda t, i: F.coalesce(F.get(F.col("__t"), i + 1)["seq"] != t["seq"], F.lit(True)))
+    blocks = stretches(known, "n").select("case_id", "__b", last.alias("__t"))
+    case = Window.partitionBy("case_id")
+    sums = blocks.select("case_id", "__b", F.aggregate("__t", F.lit(0).cast("long"), lambda a, t: a + t["n"]).alias("__s"))
+    sums = sums.withColumn("total", F.sum("__s").over(case)).filter(F.col("total") > limit)
+    before = F.coalesce(F.sum("__s").over(case.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    both = sums.select("case_id", "__b", "total", before.alias("__o")).join(blocks, ["case_id", "__b"])
+    ends = F.aggregate("__t", F.array(F.col("__o")), lambda a, t: F.array_append(a, F.element_at(a, -1) + t["n"]))
+    each = both.select("case_id", "total", F.explode(F.arrays_zip(F.col("__t").alias("t"), F.slice(ends, F.lit(1), F.size("__t")).alias("at"))).alias("z"))
+    return each.select("case_id", F.col("z.t.seq").alias("seq"), F.col("z.t.n").alias("n"), F.col("z.at").alias("at"), "total")
+
+
+def _tries(total: Column, limit: int, overlap: int, turn: int) -> Column:
+    """The counts that dialogues try in a round, as an array of longs: the least; the next eight; those up to ONE_BY_ONE; the rest in steps
+    that double, and the one that cannot fail."""
+    least = F.expr(f"(total - {overlap} + {limit - overlap - 1}) div {limit - overlap}")
+    sure = F.expr(f"((total - {overlap}) * {REACH + 2} + {(limit - overlap - 1) * REACH - 1}) div {(limit - overlap - 1) * REACH}")
+    if turn == 0:
+        return F.array(least)
+    if turn < 3:
+        first, last = ((1, 8), (9, ONE_BY_ONE))[turn - 1]
+        return F.filter(F.sequence(least + first, least + last), lambda k: k < sure)
+    far = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda j: least + ONE_BY_ONE + F.pow(F.lit(2.0), j).cast("long"))
+    return F.array_distinct(F.array_append(F.filter(far, lambda k: k < sure), sure))
 
 
 def split_dialogues(turns: DataFrame, limit: int, overlap: int) -> DataFrame:
@@ -154,46 +170,56 @@ def split_dialogues(turns: DataFrame, limit: int, overlap: int) -> DataFrame:
     """
     if limit - overlap < LEAST_ROOM:
         raise ValueError("the overlap leaves too little room for new text")
-    known = turns.filter("case_id is not null and seq is not null")
-    sizes = known.groupBy("case_id", "seq").agg(F.max(F.coalesce(F.length("texto"), F.lit(0))).cast("long").alias("n"))
-    totals = sizes.groupBy("case_id").agg(F.sum("n").alias("total")).filter(F.col("total") > limit)
-    over = sizes.join(totals, "case_id")
-    placed = cut(_offsets(over.select("case_id", "seq", "n", "total")))  # the oversized cases only, without their texts
-    totals = placed.select("case_id", "total").distinct()
-    tries = placed.withColumn("k", F.explode(_tries(F.col("total"), limit, overlap)))
-    step = (F.col("total") - overlap) / F.col("k")
-    tries = tries.withColumn("step", step).withColumn("end", F.col("at") + F.col("n"))
-    target = lambda i: i * F.col("step") + overlap
-    near = F.round((F.col("end") - overlap) / F.col("step")).cast("long")
+    placed = cut(_placed(turns, limit))  # the oversized cases only, without their texts
+    # a window inside a turn is shorter than it: no step is under that of the surest count
+    shortest = (limit - overlap - 1) // 7 - 1
+    texts = turns.filter("case_id is not null and seq is not null").filter(F.length("texto") > shortest).select("case_id", "seq", "texto", F.length("texto").cast("long").alias("n"))
+    done, left = None, placed
+    for turn in range(4):
+        tries = left.withColumn("k", F.explode(_tries(F.col("total"), limit, overlap, turn)))
+        pieces = cut(_attempt(tries, texts, overlap))
+        fits = pieces.groupBy("case_id", "k").agg(F.max(F.col("fin") - F.col("inicio")).alias("__m"), F.count("*").alias("__n")).filter((F.col("__m") <= limit) & (F.col("__n") == F.col("k")))
+        chosen = fits.groupBy("case_id").agg(F.min("k").alias("k"))
+        got = pieces.join(chosen, ["case_id", "k"], "left_semi").select("case_id", (F.col("i") - 1).alias("pieza"), "inicio", "fin", "corte")
+        done = got if done is None else done.unionByName(got)
+        left = left.join(chosen, "case_id", "left_anti")
+        if turn == 3 or left.isEmpty():
+            return done
+    return done
+
+
+def _attempt(tries: DataFrame, texts: DataFrame, overlap: int) -> DataFrame:
+    """case_id, k, i (from 1), inicio, fin, corte: the pieces of every case at every count it tries, whether or not they fit."""
+    # positions in units of 1 / (REACH k): the window of cut i is REACH i new - new ... REACH i new + new
+    at, end = (F.expr(f"{REACH} * k * ({x} - {overlap})") for x in ("at", "(at + n)"))
+    t = tries.withColumn("new", F.col("total") - overlap).withColumn("__at", at).withColumn("__end", end)
+    floor = lambda x, y: f"(({x}) - pmod({x}, {y})) div ({y})"
+    wide = f"({REACH} * new)"
     at_turns = (
-        tries.withColumn("i", near)
-        .withColumn("far", F.abs(F.col("end") - target(F.col("i"))))
-        .filter((F.col("n") > 0) & (F.col("i") >= 1) & (F.col("i") < F.col("k")) & (F.col("far") <= REACH * F.col("step")))
+        t.withColumn("i", F.expr(floor(f"2 * __end + {wide}", f"2 * {wide}")))
+        .withColumn("far", F.abs(F.expr(f"__end - i * {wide}")))
+        .filter("n > 0 and i >= 1 and i < k and far <= new")
         .groupBy("case_id", "k", "i")
-        .agg(F.min(F.struct("far", "end")).alias("m"))
-        .select("case_id", "k", "i", F.col("m.end").alias("fin"), F.lit(TURN).alias("corte"))
+        .agg(F.min(F.struct("far", (F.col("at") + F.col("n")).alias("fin"))).alias("m"))
+        .select("case_id", "k", "i", "m.fin", F.lit(TURN).alias("corte"))
     )
     # a window without a turn's end lies within one turn: that turn is looked into
-    first = F.floor((F.col("at") - overlap) / F.col("step") + REACH).cast("long") + 1
-    last = F.ceil((F.col("end") - overlap) / F.col("step") - REACH).cast("long") - 1
-    inside = tries.withColumn("__a", F.greatest(first, F.lit(1))).withColumn("__z", F.least(last, F.col("k") - 1)).filter("__a <= __z")
-    inside = inside.select("case_id", "seq", "n", "at", "step", "k", F.explode(F.sequence("__a", "__z")).alias("i"))
-    # no step is under half the room of the surest count, so only turns that long can hold a window
-    least = REACH * (limit - overlap - 1) / (1 + 2 * REACH)
-    texts = known.select("case_id", "seq", "texto", F.coalesce(F.length("texto"), F.lit(0)).cast("long").alias("n")).filter(F.col("n") > least)
-    wanted = inside.groupBy("case_id", "seq", "n", "at").agg(F.collect_list(F.struct("k", "i", "step")).alias("windows"))
-    within = wanted.join(texts, ["case_id", "seq", "n"]).mapInPandas(_look_into(overlap), T.StructType([turns.schema["case_id"], *_fields("k i fin"), T.StructField("corte", T.IntegerType())]))
+    first = F.greatest(F.expr(floor("__at + new", wide)) + 1, F.lit(1))
+    last = F.least(-F.expr(floor("new - __end", wide)) - 1, F.col("k") - 1)
+    inside = t.withColumn("__a", first).withColumn("__z", last).filter("__a <= __z")
+    inside = inside.select("case_id", "seq", "n", "at", "total", "k", F.explode(F.sequence("__a", "__z")).alias("i"))
+    wanted = inside.groupBy("case_id", "seq", "n", "at", "total").agg(F.collect_list(F.struct("k", "i")).alias("windows"))
+    within = wanted.join(texts, ["case_id", "seq", "n"]).mapInPandas(_look_into(overlap), T.StructType([tries.schema["case_id"], *_fields("k i fin"), T.StructField("corte", T.IntegerType())]))
     within = within.groupBy("case_id", "k", "i").agg(F.max(F.struct("corte", "fin")).alias("m")).select("case_id", "k", "i", "m.fin", "m.corte")
-    cuts = at_turns.unionByName(within)
-    heads = totals.withColumn("k", F.explode(_tries(F.col("total"), limit, overlap)))
+    heads = tries.select("case_id", "total", "k").distinct()
     ends = heads.select("case_id", "k", F.col("k").alias("i"), F.col("total").alias("fin"), F.lit(TURN).alias("corte"))
-    starts = heads.select("case_id", "k", F.lit(1).cast("long").alias("i"), F.lit(overlap).cast("long").alias("__e"))
-    cuts = cut(cuts.unionByName(ends))
-    before = cuts.select("case_id", "k", (F.col("i") + 1).alias("i"), F.col("fin").alias("__e")).filter(F.col("i") <= F.col("k")).unionByName(starts)
-    pieces = cuts.join(before, ["case_id", "k", "i"]).withColumn("inicio", F.col("__e") - overlap)
-    fits = pieces.groupBy("case_id", "k").agg(F.max(F.col("fin") - F.col("inicio")).alias("__m")).filter(F.col("__m") <= limit)
-    chosen = fits.groupBy("case_id").agg(F.min("k").alias("k"))
-    return pieces.join(chosen, ["case_id", "k"], "left_semi").select("case_id", (F.col("i") - 1).alias("pieza"), "inicio", "fin", "corte")
+    starts = heads.select("case_id", "k", F.lit(0).cast("long").alias("i"), F.lit(overlap).cast("long").alias("fin"), F.lit(None).cast("int").alias("corte"))
+    cuts = at_turns.unionByName(within).unionByName(ends).unionByName(starts)
+    # each end meets the one before as a row of the next piece, so one aggregate pairs them
+    own = cuts.filter("i >= 1").select("case_id", "k", "i", "fin", "corte", F.lit(None).cast("long").alias("before"))
+    next_ = cuts.filter("i < k").select("case_id", "k", (F.col("i") + 1).alias("i"), F.lit(None).cast("long").alias("fin"), F.lit(None).cast("int").alias("corte"), F.col("fin").alias("before"))
+    paired = own.unionByName(next_).groupBy("case_id", "k", "i").agg(F.max("fin").alias("fin"), F.max("corte").alias("corte"), F.max("before").alias("before"))
+    return paired.filter("fin is not null and before is not null").select("case_id", "k", "i", (F.col("before") - overlap).alias("inicio"), "fin", "corte")
 
 
 def _fields(names: str) -> list[T.StructField]:
@@ -206,10 +232,9 @@ def _look_into(overlap: int):
             out = []
             for r in pdf.itertuples(index=False):
                 for w in r.windows:
-                    k, i, step = w["k"], w["i"], w["step"]
-                    t = overlap + i * step - r.at
-                    p, strength = snap(r.texto, math.ceil(t - REACH * step), math.floor(t + REACH * step), t)
-                    out.append((r.case_id, k, i, r.at + p, strength))
+                    low, high, target = window(w["i"], w["k"], r.total, overlap)
+                    p, strength = snap(r.texto, low - r.at, high - r.at, target - r.at)
+                    out.append((r.case_id, w["k"], w["i"], r.at + p, strength))
             yield pd.DataFrame(out, columns=["case_id", "k", "i", "fin", "corte"])
 
     return run
@@ -217,20 +242,21 @@ def _look_into(overlap: int):
 
 def piece_texts(turns: DataFrame, pieces: DataFrame) -> DataFrame:
     """The pieces of ``split_dialogues`` with ``texto`` and ``seqs``, the turns they touch. A turn meets a piece on (case, stretch of
-    text), both being cut into stretches of fixed length, so no case is gathered anywhere; a piece's own turns are."""
+    text), both being cut into stretches of fixed length, so no case is gathered anywhere; a piece's own turns are. Of two texts of equal
+    length at one position the last in order counts."""
     stretch = 4096
     known = turns.filter("case_id is not null and seq is not null").select("case_id", "seq", "texto")
-    known = known.join(pieces.select("case_id").distinct(), "case_id", "left_semi").groupBy("case_id", "seq").agg(F.max(F.struct(F.coalesce(F.length("texto"), F.lit(0)).cast("long").alias("n"), "texto")).alias("t"))
-    known = known.select("case_id", "seq", "t.n", "t.texto")
-    placed = _offsets(known.select("case_id", "seq", "n"))
-    t = placed.filter("n > 0").withColumn("s", F.explode(F.sequence(F.floor(F.col("at") / stretch), F.floor((F.col("at") + F.col("n") - 1) / stretch))))
+    known = known.join(pieces.select("case_id").distinct(), "case_id", "left_semi")
+    t = _placed(known, 0).filter("n > 0").withColumn("s", F.explode(F.sequence(F.floor(F.col("at") / stretch), F.floor((F.col("at") + F.col("n") - 1) / stretch))))
     p = pieces.withColumn("s", F.explode(F.sequence(F.floor(F.col("inicio") / stretch), F.floor((F.col("fin") - 1) / stretch))))
     met = t.join(p, ["case_id", "s"]).filter("at < fin and at + n > inicio").select("case_id", "pieza", "inicio", "fin", "corte", "seq", "at", "n").distinct()
-    parts = met.join(known, ["case_id", "seq", "n"])
+    parts = met.join(known.withColumn("n", F.length("texto").cast("long")), ["case_id", "seq", "n"])
     begin, end = F.greatest(F.col("inicio") - F.col("at"), F.lit(0)), F.least(F.col("fin") - F.col("at"), F.col("n"))
     text = F.substring("texto", (begin + 1).cast("int"), (end - begin).cast("int"))
-    listed = F.sort_array(F.collect_list(F.struct("at", "seq", text.alias("x"))))
+    listed = F.sort_array(F.collect_set(F.struct("at", "seq", text.alias("x"))))  # redelivered turns once
     out = parts.groupBy("case_id", "pieza", "inicio", "fin", "corte").agg(listed.alias("l"))
+    last = F.filter("l", lambda x, i: F.coalesce(F.get(F.col("l"), i + 1)["seq"] != x["seq"], F.lit(True)))
+    out = out.withColumn("l", last)
     return out.select("case_id", "pieza", "inicio", "fin", "corte", F.array_join(F.transform("l", lambda x: x["x"]), "").alias("texto"), F.transform("l", lambda x: x["seq"]).alias("seqs"))
 
 

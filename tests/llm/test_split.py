@@ -82,3 +82,54 @@ def test_single_texts(spark):
     rows = S.split_texts(df, 100, 10, ("case_id", "seq")).collect()
     assert {(r.case_id, r.seq) for r in rows} == {("a", 1)} and all(len(r.pieza_texto) <= 100 for r in rows) and len(rows) == len(S.split_text("palabra " * 40, 100, 10))
     assert S.limits(spark.createDataFrame([("x", 5, None), ("x", 4, 1), (None, 3, 1)], "tipo string, max_chars int, solape_chars int")) == {"x": (4, 1)}
+
+
+def cut_at(text, n, limit, overlap):
+    """Whether n pieces fit, by definition in fractions."""
+    from fractions import Fraction
+
+    step, start = Fraction(len(text) - overlap, n), 0
+    for i in range(1, n + 1):
+        t = overlap + i * step
+        inside = [p for p in range(1, len(text)) if t - step / 5 <= p <= t + step / 5]
+        end = S.snap(text, inside[0], inside[-1], float(t))[0] if i < n else len(text)
+        if end - start > limit:
+            return False
+        start = end - overlap
+    return True
+
+
+def test_least_count_that_fits(spark):
+    """No smaller count fits, for texts and for the same text as turns."""
+    rng = random.Random(12)
+    rows, texts, saved = [], {}, 0
+    for c in range(25):
+        text = "".join("y" * rng.randint(1, 60) + rng.choice([" ", ". ", "\n", ""]) for _ in range(rng.randint(12, 60)))
+        texts[f"c{c}"] = text
+        n = len(S.split_text(text, 100, 10))
+        assert all(not cut_at(text, k, 100, 10) for k in range(S.least_count(len(text), 100, 10), n)) and (len(text) <= 100 or cut_at(text, n, 100, 10))
+        saved += n > S.least_count(len(text), 100, 10) + 2
+        rows.append((f"c{c}", 0, text))
+    assert saved
+    got = {r.case_id: r["count"] for r in S.split_dialogues(spark.createDataFrame(rows, "case_id string, seq int, texto string"), 100, 10).groupBy("case_id").count().collect()}
+    assert got == {c: len(S.split_text(t, 100, 10)) for c, t in texts.items() if len(t) > 100}
+
+
+def test_dialogues_try_every_count_in_turn(spark):
+    df = spark.createDataFrame([(x,) for x in (5001, 9710, 50_000)], "total long")
+    for total, *tries in df.select("total", *(S._tries(F.col("total"), 5000, 300, i) for i in range(4))).collect():
+        least, sure = S.least_count(total, 5000, 300), S.sure_count(total, 5000, 300)
+        assert tries[0] == [least] and sorted({*tries[0], *tries[1], *tries[2], sure}) == list(range(least, sure + 1)) and tries[3][-1] == sure
+
+
+def test_turn_that_covers_a_window_to_its_edge(spark):
+    """Turns whose ends fall on the edge of a window, one beyond it and one before it."""
+    rows = []
+    for c, shift in enumerate(range(-3, 4)):
+        total, limit, overlap = 9710, 5000, 300
+        edge = S.window(1, 3, total, overlap)[1] + shift
+        rows += [(f"c{c}", 0, "a" * 1000), (f"c{c}", 1, "b" * (edge - 1000)), (f"c{c}", 2, "d" * (total - edge))]
+    pieces = S.split_dialogues(spark.createDataFrame(rows, "case_id string, seq int, texto string"), limit, overlap).collect()
+    for c in range(7):
+        own = sorted((r.pieza, r.inicio, r.fin) for r in pieces if r.case_id == f"c{c}")
+        assert own[0][1] == 0 and own[-1][2] == total and all(b[1] == a[2] - overlap for a, b in zip(own, own[1:])) and all(f - i <= limit for _, i, f in own)
