@@ -45,7 +45,17 @@ def vocabulary_path(name: str = VOCABULARY, folder: str | None = None) -> str:
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+        return ranks_of(f.read())
+
+
+def ranks_of(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line.strip())}
+
+
+def _shipped(df: DataFrame, path: str | None):
+    """The vocabulary file as a broadcast: read where the query is built, so the executors need no copy. Its size is that of the file."""
+    with open(path or vocabulary_path(), "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
 
 class PairTree:
@@ -145,12 +155,12 @@ class Encoder:
 
 def encode(df: DataFrame, key: str, text: str = "text", path: str | None = None) -> DataFrame:
     """key and ids (array of int) of every row, without special tokens. Extra columns are dropped."""
-    path = path or vocabulary_path()
+    vocabulary = _shipped(df, path)
     schema = T.StructType([df.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
     # the empty string and null leave as they are; Arrow carries lists as one buffer of values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(read_ranks(path))
+        encoder = Encoder(ranks_of(vocabulary.value))
         for batch in batches:
             values, offsets = array("i"), array("i", [0])
             for t in batch.column(1).to_pylist():
@@ -164,11 +174,11 @@ def encode(df: DataFrame, key: str, text: str = "text", path: str | None = None)
 
 def token_counts(df: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
     """key, the columns of ``keep`` and n_tokens of every row; 0 for null and empty texts."""
-    path = path or vocabulary_path()
+    vocabulary = _shipped(df, path)
     schema = T.StructType([df.schema[c] for c in (key, *keep)] + [T.StructField("n_tokens", T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(read_ranks(path))
+        encoder = Encoder(ranks_of(vocabulary.value))
         for batch in batches:
             n = pa.array([encoder.count(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], names=[key, *keep, "n_tokens"])

@@ -3,12 +3,14 @@
 A mixture wants ``cuota`` of ``presupuesto_tokens`` from each source, no document used more than ``max_usos`` times. A source of T tokens
 is used c = target / T times: every document floor(c) times, and once more with probability f = c - floor(c). The once-more draw is
 balanced on the number of documents and of tokens: the flight moves the probabilities of three documents at a time along the direction
-that leaves both totals as they are, until one of them is 0 or 1. Each task flies over its own documents and keeps at most two undecided
-for each mixture and source; these alone meet in one task (two a task of the input), fly on, and the last two land, first keeping the
-number of documents, then by their own probability. So the total misses its target by no more than about one document.
-
-Nothing but the totals of the sources named in the mixtures and these few undecided documents is ever gathered. Draws depend on ids and
-a seed alone, given the same splits. A source that cannot give its target is used to its cap and reported.
+that leaves both totals as they are, until one of them is 0 or 1. Documents fly in BUCKETS buckets by the hash of their id, in the order
+of their ids, and each keeps at most two undecided for each mixture and source; these alone meet in one task (at most two a bucket), fly
+on, and the last two land, first keeping the number of tokens, then by their own probability. So the total misses its target by less than
+one document.
+
+Nothing but the totals of the sources named in the mixtures and these few undecided documents is ever gathered. Draws depend on the rows
+and a seed alone, not on how the table is split or how many tasks there are. A source that cannot give its target is used to its cap and
+reported.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import types as T
 from ..session import cut
 
 EDGE = 1e-9
+#: Buckets of documents that fly together, however many tasks there are.
+BUCKETS = 1024
 
 
 @dataclass(frozen=True)
@@ -58,7 +62,8 @@ class Flight:
     def land(self) -> list[tuple]:
         done = []
         while len(self.open) >= 2:
-            self._move(self.open[:2], (1.0, -1.0))
+            a, b = self.open[:2]
+            self._move([a, b], (b[1], -a[1]))
             units, self.open = self.open, []
             done += self._settle(units)
         for key, tokens, p in self.open:
@@ -99,7 +104,8 @@ def targets(sizes: DataFrame, mixtures: DataFrame) -> DataFrame:
 
 def draw(sizes: DataFrame, goals: DataFrame, seed: int = 0) -> DataFrame:
     """mezcla_id, source, doc_id, n_tokens, usos of every document a mixture uses. ``sizes`` should be a table that is read, not computed,
-    as it is read twice. Documents without tokens or source are never used; of rows with one id each counts for itself.
+    as it is read twice. Documents without tokens or source are never used; of rows with one id each counts for itself. Only ids and sizes
+    are shuffled, into the buckets.
     """
     plan: dict[str, list[Part]] = {}
     for r in goals.filter("objetivo > 0 and disponible > 0").collect():  # as many rows as the mixtures have
@@ -109,12 +115,23 @@ def draw(sizes: DataFrame, goals: DataFrame, seed: int = 0) -> DataFrame:
     fields = [T.StructField("mezcla_id", T.IntegerType()), sizes.schema["source"], sizes.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("times", T.IntegerType()), T.StructField("p", T.DoubleType())]
     schema, names = T.StructType(fields), [f.name for f in fields]
 
+    times = {(p.mezcla_id, s): p.times for s, parts in plan.items() for p in parts}
+
+    def still_open(flights: dict) -> list[tuple]:
+        """The undecided of a bucket, whose flights end with it."""
+        out = [(m, s, k, n, times[m, s], p) for (m, s), f in flights.items() for k, n, p in f.open]
+        flights.clear()
+        return out
+
     def fly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flights: dict[tuple[int, str], Flight] = {}
-        times = {(p.mezcla_id, s): p.times for s, parts in plan.items() for p in parts}
+        bucket = None
         for pdf in batches:
             out = []
-            for doc, source, tokens in zip(pdf["doc_id"], pdf["source"], pdf["n_tokens"]):
+            for doc, source, tokens, b in zip(pdf["doc_id"], pdf["source"], pdf["n_tokens"], pdf["__bucket"]):
+                if b != bucket:
+                    out += still_open(flights)
+                    bucket = b
                 for part in plan.get(source, ()):
                     if part.more <= EDGE:
                         if part.times:
@@ -125,9 +142,10 @@ def draw(sizes: DataFrame, goals: DataFrame, seed: int = 0) -> DataFrame:
                         flights[at] = Flight(f"{seed} {part.mezcla_id} {source} {doc}")
                     out += [(part.mezcla_id, source, k, n, part.times, float(x)) for k, n, x in flights[at].add(doc, tokens, part.more)]
             yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame([(m, s, k, n, times[m, s], p) for (m, s), f in flights.items() for k, n, p in f.open], columns=names)
+        yield pd.DataFrame(still_open(flights), columns=names)
 
-    flown = sizes.filter("source is not null and n_tokens > 0").select("doc_id", "source", "n_tokens").mapInPandas(fly, schema)
+    used = sizes.filter(F.col("source").isin(*plan) & (F.col("n_tokens") > 0)).select("doc_id", "source", "n_tokens", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("__bucket"))
+    flown = used.repartition("__bucket").sortWithinPartitions("__bucket", "doc_id", "source", "n_tokens").mapInPandas(fly, schema)
 
     def land(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "p", "n_tokens"])

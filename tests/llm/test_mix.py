@@ -55,3 +55,18 @@ def test_empty(spark):
     drawn, report = M.mix(none, one)
     assert drawn.count() == 0 and report.first().corto
     assert M.mix(spark.createDataFrame([(1, "a", 5, "")], SIZES), one.limit(0))[1].count() == 0
+
+
+def test_same_mixture_whatever_the_splits(spark):
+    rng = random.Random(4)
+    sizes = spark.createDataFrame([(i, rng.choice("abc"), rng.randint(1, 3000), "x") for i in range(6000)], SIZES)
+    mixes = spark.createDataFrame([(1, "a", 0.5, 2, 2_000_000), (1, "b", 0.3, 2, 2_000_000), (1, "c", 0.2, 1, 2_000_000)], MIXES)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    for parts in (1, 3, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        drawn, report = M.mix(sizes.repartition(parts, "n_tokens"), mixes, seed=3)
+        got.append(sorted(map(tuple, drawn.collect())))
+        assert all(abs(r.tokens - r.objetivo) <= 3000 for r in report.collect())
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] == got[2]
