@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -196,10 +196,10 @@ def _read_vitals(vitals: DataFrame, units: DataFrame) -> DataFrame:
     magnitude = F.try_element_at(F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv)), F.col("clase")) if kinds else F.lit(None).cast("string")
     v = vitals.select("lectura_id", clase.alias("clase"), "valor", "unidad", "unitem", "texto").withColumn("magnitud", magnitude)
     columns = ["lectura_id", "clase", "magnitud", "valor", "dicha", "fuente"]
-    # an amount and a unit written as the list writes it need no reading; what else there is goes through Reader
-    written = F.create_map(*(F.lit(x) for m in sorted(own) for s, u in sorted(own[m].items()) for x in (f"{m} {s}", u))) if own else None
-    said = F.try_element_at(written, F.concat_ws(" ", "magnitud", F.lower(F.trim("unidad")))) if own else F.lit(None).cast("string")
-    v = v.withColumn("dicha", F.when(F.col("valor").isNotNull() & ~F.isnan("valor") & F.col("magnitud").isNotNull(), said))
+    # an amount and a unit written as the list writes it need no reading; what else there is goes through Reader. The list is the code's
+    written = vitals.sparkSession.createDataFrame([(m, s, u) for m in own for s, u in own[m].items()], "magnitud string, __s string, dicha string")
+    has = F.col("valor").isNotNull() & ~F.isnan("valor")
+    v = v.withColumn("__s", F.when(has, F.lower(F.trim("unidad")))).join(F.broadcast(written), ["magnitud", "__s"], "left")
     plain = v.filter("dicha is not null or magnitud is null").withColumn("fuente", F.when(F.col("dicha").isNotNull(), "columna").otherwise("ninguna")).select(*columns)
     rest = v.filter("dicha is null and magnitud is not null").select("lectura_id", "clase", "magnitud", "valor", "unidad", "unitem", "texto")
     schema = T.StructType([v.schema["lectura_id"], *(T.StructField(n, t) for n, t in (("clase", T.StringType()), ("magnitud", T.StringType()), ("valor", T.DoubleType()), ("dicha", T.StringType()), ("fuente", T.StringType())))])
@@ -370,38 +370,56 @@ def assign(readings: DataFrame, fits: dict[str, Fit], units: dict[str, list[Unit
     is an inferred one below SURE. Amounts that are not positive keep their stated (or common) unit and are uncertain. A kind without a
     fit keeps what is stated. Ties fall to the common unit. ``posterior`` is that of the likeliest unit.
     """
-    spark = readings.sparkSession
-    rows = []
+    models = {}
     for k, f in fits.items():
         us = next(v for v in units.values() if {u.name for u in v} >= set(f.weights))
-        flat = ANY / math.log(f.high / f.low) if f.low else 0.0
-        rows.append((k, f.mu, f.sigma, flat, f.low, f.high or math.inf, 1 - f.wrong, f.wrong / max(1, len(us) - 1), [(u.name, u.factor, u.shift, f.weights[u.name], 1e-300 * (len(us) - i)) for i, u in enumerate(us)]))
-    model = spark.createDataFrame(rows, f"{kind} string, mu double, sigma double, flat double, low double, high double, told double, off double, us array<struct<u:string,f:double,s:double,w:double,least:double>>")
-    table = spark.createDataFrame([(m, u.name, u.factor, u.shift, u.common) for m, v in units.items() for u in v], "__m string, __u string, __f double, __s double, __common boolean")
-    # both are lists of units, a row each: they do not grow with the data
-    df = readings.join(F.broadcast(model), kind, "left").join(F.broadcast(table.filter("__common").select(F.col("__m").alias("magnitud"), F.col("__u").alias("__default"))), "magnitud", "left")
-
-    def component(u: Column) -> Column:
-        c = F.col("valor") * u["f"] + u["s"]
-        z = (F.log(c) - F.col("mu")) / F.col("sigma")
-        bell = F.exp(-0.5 * z * z) * ((1 - ANY) / math.sqrt(2 * math.pi)) / F.col("sigma")
-        inside = F.when(c.between(F.col("low"), F.col("high")), 1.0).otherwise(1e-9)
-        like = F.when(F.col("dicha").isNull(), 1.0).when(F.col("dicha") == u["u"], F.col("told")).otherwise(F.col("off"))
-        p = F.when(c > 0, (bell + F.col("flat")) * inside * (F.col("valor") * u["f"] / c) * u["w"] * like).otherwise(0.0) + u["least"]
-        return F.struct(p.alias("p"), u["u"].alias("u"))
-
-    df = df.withColumn("__p", F.when(F.col("valor") > 0, F.transform("us", component)))
-    total = F.aggregate("__p", F.lit(0.0), lambda a, x: a + x["p"])
-    df = df.withColumn("__best", F.array_max("__p")["u"]).withColumn("posterior", F.try_divide(F.array_max("__p")["p"], total))
-    takes = F.col("__best").isNotNull() & F.when(F.col("dicha").isNull(), F.lit(True)).otherwise((F.col("__best") != F.col("dicha")) & (F.col("posterior") >= sure))
-    df = df.withColumn("juicio", F.when(F.col("dicha").isNull(), "inferida").when(takes, "corregida").otherwise("dicha"))
-    df = df.withColumn("unidad_id", F.when(takes, F.col("__best")).otherwise(F.coalesce("dicha", "__default")))
-    if keep_common_unless_sure:
-        df = df.withColumn("unidad_id", F.when((F.col("juicio") == "inferida") & (F.col("posterior") < SURE), F.col("__default")).otherwise(F.col("unidad_id")))
-    df = df.join(F.broadcast(table.select(F.col("__u").alias("unidad_id"), "__f", "__s")), "unidad_id", "left")
-    doubted = (F.col("valor") <= 0) | F.coalesce((F.col("__best") != F.col("dicha")) & F.lit(sure <= 1), F.lit(False))
-    unsure = F.when(F.col("juicio") == "dicha", doubted).otherwise(F.coalesce(F.col("posterior") < SURE, F.lit(True)))
-    return df.select(*readings.columns, "unidad_id", (F.col("valor") * F.col("__f") + F.col("__s")).alias("comun"), "posterior", unsure.alias("incierto"), "juicio")
+        n = len(us)
+        models[k] = (f, np.array([u.name for u in us], object), np.array([u.factor for u in us]), np.array([u.shift for u in us]), np.array([f.weights[u.name] for u in us]), 1e-300 * np.arange(n, 0, -1), f.wrong / max(1, n - 1))
+    defaults = {m: u.name for m, us in units.items() for u in us if u.common}
+    common = {u.name: (u.factor, u.shift) for us in units.values() for u in us}
+    names = readings.columns
+    added = "unidad_id string, comun double, posterior double, incierto boolean, juicio string"
+    schema = T.StructType([*readings.schema.fields, *T._parse_datatype_string(added).fields])
+
+    def likeliest(model: tuple, v: np.ndarray, said: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        f, u, factor, shift, weight, least, off = model
+        part = v[:, None] * factor
+        c = part + shift
+        at = np.where(c > 0, c, 1.0)
+        p = (np.exp(-0.5 * ((np.log(at) - f.mu) / f.sigma) ** 2) * ((1 - ANY) / math.sqrt(2 * math.pi)) / f.sigma + (ANY / math.log(f.high / f.low) if f.low else 0.0)) * part / at * weight
+        p *= np.where((c >= f.low) & (c <= (f.high or math.inf)), 1.0, 1e-9)
+        stated = said != None  # noqa: E711
+        p *= np.where(stated[:, None], np.where(said[:, None] == u, 1 - f.wrong, off), 1.0)
+        p = np.where(c > 0, p, 0.0) + least  # of equal ones the first, the common unit
+        best = p.argmax(1)
+        return u[best], p.max(1) / p.sum(1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n = len(pdf)
+            v, said = pdf["valor"].to_numpy(float), pdf["dicha"].astype(object).where(pdf["dicha"].notna(), None).to_numpy(object)
+            best, post = np.full(n, None, object), np.full(n, np.nan)
+            for k, where in pdf.groupby(kind, sort=False).indices.items():
+                where = where[v[where] > 0]
+                if k in models and len(where):
+                    best[where], post[where] = likeliest(models[k], v[where], said[where])
+            bare, known = said == None, best != None  # noqa: E711
+            takes = known & (bare | ((best != said) & (post >= sure)))
+            unit = np.where(takes, best, np.where(bare, pdf["magnitud"].map(defaults).to_numpy(object), said))
+            if keep_common_unless_sure:
+                unit = np.where(bare & ~(post >= SURE) & known, pdf["magnitud"].map(defaults).to_numpy(object), unit)
+            juicio = np.where(bare, "inferida", np.where(takes, "corregida", "dicha"))
+            doubted = ~(v > 0) | (known & (best != said) if sure <= 1 else False)
+            told = [common.get(u) for u in unit]
+            out = pdf.copy()
+            out["unidad_id"] = [u if isinstance(u, str) else None for u in unit]
+            out["comun"] = [None if c is None else x * c[0] + c[1] for x, c in zip(v, told)]
+            out["posterior"] = [None if np.isnan(p) else p for p in post]
+            out["incierto"] = np.where(juicio == "dicha", doubted, ~(post >= SURE))
+            out["juicio"] = juicio
+            yield out[[*names, "unidad_id", "comun", "posterior", "incierto", "juicio"]]
+
+    return readings.mapInPandas(run, schema)
 
 
 def bounds() -> dict[str, tuple[float, float]]:
