@@ -76,6 +76,13 @@ def file_lists(parts: DataFrame) -> DataFrame:
     return parts.groupBy("case_id").agg(F.count("*").alias("n_parts"), F.concat(whole, F.lit("\n")).alias("content")).filter("n_parts > 1")
 
 
+def join_lists(parts: DataFrame) -> DataFrame:
+    """What joining takes, of cases of more than one part: case_id, path, list_file, content and the parts in order. ``parts``: ``chunk_paths``."""
+    own = parts.filter("list_file is not null")
+    lists = own.groupBy("case_id", "path", "list_file").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", "part"))), lambda x: x["part"]).alias("parts"))
+    return lists.join(file_lists(own), "case_id").select("case_id", "path", "list_file", "content", "parts")
+
+
 def kilobytes(n_bytes: Column) -> Column:
     """Size in KB with one decimal, halves to even."""
     return F.bround(n_bytes / F.lit(1024.0), 1)

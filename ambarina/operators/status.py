@@ -101,13 +101,18 @@ def rollup(status: DataFrame) -> DataFrame:
     return both.join(n, "status", "left").select("status", F.coalesce("__n", F.lit(0)).cast("long").alias("n_cases"))
 
 
+def succeeded(http_status: Column | str) -> Column:
+    """Exactly 200; no answer is no success."""
+    return F.coalesce((F.col(http_status) if isinstance(http_status, str) else http_status) == 200, F.lit(False))
+
+
 def chunk_outcome(requests: DataFrame) -> DataFrame:
     """case_id, status and attempted per chunk from the responses of a run (case_id, chunk_no, http_status).
 
     Chunks run in order and the first that is not exactly 200 ends its case: later ones count as not attempted, earlier parts stay.
     A null http_status is a failed call (no answer).
     """
-    ok = F.coalesce(F.col("http_status") == 200, F.lit(False))
+    ok = succeeded("http_status")
     first_bad = requests.groupBy("case_id").agg(F.min(F.when(~ok, F.col("chunk_no"))).alias("first_failed"))
     with_bad = requests.join(first_bad, "case_id")
     attempted = F.col("first_failed").isNull() | (F.col("chunk_no") <= F.col("first_failed"))

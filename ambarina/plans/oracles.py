@@ -42,10 +42,16 @@ PATHS = """ p AS (SELECT id AS case_id, CASE WHEN audio_file LIKE '/%' THEN audi
  cp AS (SELECT g.case_id, chunk_no, CAST(last + 1 AS BIGINT) AS n_chunks, path,
    CASE WHEN last = 0 THEN path ELSE replace(path, '.mp3', '_part' || (chunk_no + 1) || '.mp3') END AS part,
    CASE WHEN last > 0 THEN replace(path, '.mp3', '_filelist.txt') END AS list_file FROM g JOIN p USING (case_id))"""
-CODES = """ cd AS (SELECT id AS case_id, 'diagnostico_principal' AS kind, 0 AS idx, diagnostico_principal.nombre AS nombre, s.system, s.code, diagnostico_principal.snomed_termino AS term
+CODES = """ e1 AS (SELECT * FROM entradas QUALIFY row_number() OVER (PARTITION BY entrada_id ORDER BY recibido_en) = 1),
+ m1 AS (SELECT * FROM medicaciones QUALIFY row_number() OVER (PARTITION BY medicacion_id ORDER BY recibido_en) = 1),
+ cd AS (SELECT id AS case_id, 'diagnostico_principal' AS kind, 0 AS idx, diagnostico_principal.nombre AS nombre, s.system, s.code, diagnostico_principal.snomed_termino AS term
    FROM c, LATERAL (VALUES ('cie10', diagnostico_principal.cie10), ('snomed_ct', diagnostico_principal.snomed_ct)) s(system, code) WHERE s.code IS NOT NULL
    UNION ALL SELECT id, 'procedimientos', i - 1, procedimientos[i].nombre, 'snomed_ct', procedimientos[i].snomed_ct, procedimientos[i].snomed_termino
-   FROM (SELECT id, procedimientos, unnest(range(1, len(procedimientos) + 1)) AS i FROM c) WHERE procedimientos[i].snomed_ct IS NOT NULL)"""
+   FROM (SELECT id, procedimientos, unnest(range(1, len(procedimientos) + 1)) AS i FROM c) WHERE procedimientos[i].snomed_ct IS NOT NULL),
+ ca AS (SELECT * FROM cd
+   UNION ALL SELECT case_id, lista, idx, nombre, s.system, s.code, snomed_termino FROM e1, LATERAL (VALUES ('cie10', cie10), ('snomed_ct', snomed_ct)) s(system, code)
+   WHERE s.code IS NOT NULL AND lista IN ('diagnosticos_secundarios', 'sintomas')
+   UNION ALL SELECT case_id, 'medicamentos', idx, nombre, s.system, s.code, snomed_termino FROM m1, LATERAL (VALUES ('atc', atc), ('snomed_ct', snomed_ct)) s(system, code) WHERE s.code IS NOT NULL)"""
 RULES = r""" r AS (SELECT id AS case_id, regexp_replace(regexp_extract(a, '^([A-Z]{0,4} ?[A-Z]?[0-9][0-9A-Z.]*|[A-Z][0-9][0-9A-Z.]*)', 1), '^[A-Z]+ ', '') AS old,
    regexp_replace(regexp_extract(a, '→ *([A-Z]?[0-9][0-9A-Z.]*|[A-Z][0-9][0-9A-Z.]*)', 1), '[.]$', '') AS new
    FROM (SELECT id, unnest(regexp_extract_all(x, '[A-Z]{0,4} ?[A-Z]?[0-9][0-9A-Z.]* *→ *[A-Z]?[0-9][0-9A-Z.]*')) AS a
@@ -78,10 +84,10 @@ ORACLES: dict[str, str] = {
     "summary_totals": f"WITH {T}, {C} SELECT (SELECT count(*) FROM c) AS n_cases, (SELECT count(DISTINCT especialidad) FROM c) AS n_especialidades, (SELECT count(*) FROM t) AS n_turns, (SELECT CAST(sum(length(texto)) AS BIGINT) FROM t) AS n_chars",
     "summary_by_specialty": f"WITH {C} SELECT especialidad, count(*) AS total, count(*) FILTER (NOT diagnostico_principal.es_rara) AS comunes, count(*) FILTER (diagnostico_principal.es_rara) AS raras FROM c GROUP BY 1",
     "summary_by_canonical_specialty": f"WITH {C} SELECT {SPEC.format('especialidad')} AS especialidad, count(*) AS total, count(*) FILTER (NOT diagnostico_principal.es_rara) AS comunes, count(*) FILTER (diagnostico_principal.es_rara) AS raras FROM c GROUP BY 1",
-    "codes_relation": f"WITH {C}, {CODES} SELECT case_id, kind, CAST(idx AS INTEGER) AS idx, nombre, system, code, term FROM cd",
-    "distinct_codes_by_system": f"WITH {C}, {CODES} SELECT system, count(DISTINCT code) AS n_codes, count(*) AS n_occurrences FROM cd GROUP BY 1",
-    "code_frequency": f"WITH {C}, {CODES} SELECT system, code, term, count(*) AS n FROM cd GROUP BY 1, 2, 3",
-    "ambiguous_codes": f"WITH {C}, {CODES} SELECT system, code, count(DISTINCT term) AS n_terms FROM cd GROUP BY 1, 2 HAVING count(DISTINCT term) > 1",
+    "codes_relation": f"WITH {C}, {CODES} SELECT case_id, kind, CAST(idx AS INTEGER) AS idx, nombre, system, code, term FROM ca",
+    "distinct_codes_by_system": f"WITH {C}, {CODES} SELECT system, count(DISTINCT code) AS n_codes, count(*) AS n_occurrences FROM ca GROUP BY 1",
+    "code_frequency": f"WITH {C}, {CODES} SELECT system, code, term, count(*) AS n FROM ca GROUP BY 1, 2, 3",
+    "ambiguous_codes": f"WITH {C}, {CODES} SELECT system, code, count(DISTINCT term) AS n_terms FROM ca GROUP BY 1, 2 HAVING count(DISTINCT term) > 1",
     "code_shape_check": "SELECT DISTINCT entrada_id, regexp_matches(cie10, '^[A-Z][0-9]{2}(\\.[0-9A-Z]{1,2})?$') AS cie10_ok, regexp_matches(snomed_ct, '^[1-9][0-9]{5,17}$') AS snomed_ok FROM entradas",
     "atc_levels": """WITH m AS (SELECT DISTINCT medicacion_id, atc FROM medicaciones WHERE atc <> 'N/A'), s AS (SELECT medicacion_id, regexp_split_to_array(atc, '\\s*/\\s*') AS a FROM m)
       SELECT medicacion_id, CAST(i - 1 AS INTEGER) AS pos, a[i] AS code, CASE length(a[i]) WHEN 1 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 4 WHEN 7 THEN 5 END AS level FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM s)""",
@@ -97,9 +103,6 @@ ORACLES: dict[str, str] = {
     "tag_extract": f"WITH {T} SELECT case_id, seq, nullif(regexp_extract(texto, '^\\[([^\\]]+)\\]', 1), '') AS tag, len(regexp_extract_all(coalesce(texto, ''), '\\[([^\\]]+)\\]')) AS n_tags FROM t",
     "tag_frequency": f"WITH {T} SELECT tag, count(*) AS n FROM (SELECT nullif(regexp_extract(texto, '^\\[([^\\]]+)\\]', 1), '') AS tag FROM t) WHERE tag IS NOT NULL GROUP BY 1",
     "json_field_extract": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
-    "body_mass_index": """WITH v AS (SELECT DISTINCT lectura_id, case_id, nombre, valor, unidad FROM constantes WHERE valor IS NOT NULL AND ((nombre = 'peso' AND unidad = 'kg') OR (nombre = 'talla' AND unidad = 'cm'))),
-      x AS (SELECT case_id, arg_min(valor, lectura_id) FILTER (nombre = 'peso') AS peso, arg_min(valor, lectura_id) FILTER (nombre = 'talla') AS talla FROM v GROUP BY 1)
-      SELECT case_id, round_even(peso / power(talla / 100.0::DOUBLE, 2.0::DOUBLE), 3) AS imc FROM x WHERE peso IS NOT NULL AND talla IS NOT NULL""",
     "pressure_names_joined": "SELECT regexp_replace(nombre, '^(tension|presion)_arterial_', 'presion_arterial_') AS nombre, count(*) AS n FROM (SELECT DISTINCT lectura_id, nombre FROM constantes) GROUP BY 1",
     "misspelt_unit_key": "SELECT DISTINCT lectura_id, unitem AS unidad FROM constantes WHERE unidad IS NULL AND unitem IS NOT NULL",
     "centre_load": "WITH t AS (SELECT DISTINCT case_id, seq, centro_id, texto FROM turnos) SELECT t.centro_id, nombre, count(*) AS n_turns, CAST(sum(length(texto)) AS BIGINT) AS n_chars FROM t LEFT JOIN centros USING (centro_id) GROUP BY 1, 2",
@@ -119,3 +122,48 @@ for _suffix, _rol in (("", "rol"), ("_whole", READ)):
         f"request_manifest{_suffix}": f"""{_pack} SELECT case_id, chunk_no, count(*) AS n_turns, {_request} AS payload FROM k GROUP BY 1, 2 UNION ALL SELECT case_id, 0, 0, '{{"inputs":[],"model_id":"eleven_v3"}}' FROM e""",
     }
 ORACLES["case_status_rollup"] = f"WITH {T}, {C}, {status_of('rol')} SELECT status, count(case_id) AS n_cases FROM (VALUES ('success'),('failed')) v(status) LEFT JOIN st ON {OK} = status GROUP BY 1"
+
+# the summary, and its specialties read back
+ORACLES["summary_document"] = f"""WITH {T}, {C}, {CODES}, n AS (SELECT system, count(DISTINCT code) AS n FROM ca GROUP BY 1),
+  s AS (SELECT especialidad, count(*) AS total, count(*) FILTER (NOT diagnostico_principal.es_rara) AS comunes, count(*) FILTER (diagnostico_principal.es_rara) AS raras FROM c WHERE especialidad IS NOT NULL GROUP BY 1)
+  SELECT '{{"total_transcripciones":' || (SELECT count(*) FROM c) || ',"total_especialidades":' || (SELECT count(DISTINCT especialidad) FROM c) || ',"total_dialogos":' || (SELECT count(*) FROM t)
+    || ',"total_caracteres":' || (SELECT sum(length(texto)) FROM t) || ',"estadisticas_codigos":{{"cie10_unicos":' || (SELECT n FROM n WHERE system = 'cie10') || ',"snomed_ct_unicos":' || (SELECT n FROM n WHERE system = 'snomed_ct')
+    || ',"atc_unicos":' || (SELECT n FROM n WHERE system = 'atc') || '}},"especialidades":{{' || (SELECT string_agg(CAST(to_json(especialidad) AS VARCHAR) || ':' || CAST(to_json({{'total': total, 'comunes': comunes, 'raras': raras}}) AS VARCHAR), ',' ORDER BY especialidad) FROM s) || '}}}}' AS document"""
+ORACLES["summary_keys_as_rows"] = f"WITH {C} SELECT especialidad, count(*) AS total, count(*) FILTER (NOT diagnostico_principal.es_rara) AS comunes, count(*) FILTER (diagnostico_principal.es_rara) AS raras FROM c WHERE especialidad IS NOT NULL GROUP BY 1"
+
+# documents
+R = "r AS (SELECT DISTINCT registro_id, payload FROM registros WHERE json_valid(payload))"
+KIND = "CASE {0} WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END"
+ORACLES |= {
+    "document_turns": f"""WITH {R}, p AS (SELECT registro_id, i - 1 AS phase_idx, a[i] AS p FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM (SELECT registro_id, CAST(json_extract(payload, '$.transcripcion') AS JSON[]) AS a FROM r WHERE json_type(payload, '$.transcripcion') = 'ARRAY'))),
+      g AS (SELECT registro_id, phase_idx, p->>'$.fase' AS fase, CASE WHEN json_type(p, '$.dialogos') = 'ARRAY' THEN CAST(json_extract(p, '$.dialogos') AS JSON[]) ELSE [] END AS a FROM p),
+      o AS (SELECT *, coalesce(sum(len(a)) OVER (PARTITION BY registro_id ORDER BY phase_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)
+      SELECT registro_id, CAST(phase_idx AS INTEGER) AS phase_idx, fase, CAST(i - 1 AS INTEGER) AS turn_idx, CAST(before + i - 1 AS INTEGER) AS seq, a[i]->>'$.rol' AS rol, a[i]->>'$.texto' AS texto FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM o)""",
+    "document_vitals": f"""WITH {R}, k AS (SELECT registro_id, payload, unnest(json_keys(payload, '$.constantes_vitales')) AS nombre FROM r WHERE json_type(payload, '$.constantes_vitales') = 'OBJECT'),
+      x AS (SELECT registro_id, nombre, json_extract(payload, '$.constantes_vitales."' || nombre || '"') AS x FROM k)
+      SELECT registro_id, nombre, CASE WHEN json_type(x, '$.valor') IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN CAST(x->>'$.valor' AS DOUBLE) END AS valor, x->>'$.unidad' AS unidad FROM x""",
+    "schema_drift": f"""WITH {R}, k AS (SELECT payload, unnest(json_keys(payload)) AS key FROM r WHERE json_type(payload) = 'OBJECT'),
+      t AS (SELECT key, {KIND.format("json_type(payload, '$.\"' || key || '\"')")} AS tipo FROM k)
+      SELECT key, tipo, count(*) AS n, CASE WHEN key IN ('id', 'especialidad', 'resumen', 'audio_file') THEN 'string'
+        WHEN key IN ('diagnostico_principal', 'constantes_vitales', 'paciente', 'medico', 'acompañante', 'voces', 'validacion') THEN 'object'
+        WHEN key IN ('diagnosticos_secundarios', 'sintomas', 'procedimientos', 'medicamentos', 'notas_adicionales', 'transcripcion') THEN 'array' END AS declarado FROM t GROUP BY 1, 2""",
+    "file_counts": "SELECT remitente, count(*) AS n FROM (SELECT DISTINCT registro_id, remitente FROM registros) GROUP BY 1",
+}
+
+# a run's answers
+A = """a AS (SELECT user_id AS case_id, event_id AS chunk_no, CASE WHEN k % 10 = 3 THEN 500 WHEN k % 10 = 7 THEN 201 WHEN k % 25 <> 4 THEN 200 END AS http_status FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)),
+ w AS (SELECT case_id, min(chunk_no) FILTER (http_status IS NULL OR http_status <> 200) AS bad FROM a GROUP BY 1)"""
+_length = "length(payload)"
+ORACLES |= {
+    "response_success": f"WITH {A} SELECT http_status, coalesce(http_status = 200, false) AS ok, count(*) AS n FROM a GROUP BY 1, 2",
+    "chunk_outcomes": f"""WITH {A} SELECT case_id, chunk_no, CASE WHEN chunk_no > bad THEN 'not attempted' WHEN chunk_no = bad THEN 'failed' ELSE 'ok' END AS outcome,
+      CASE WHEN bad IS NULL THEN 'success' ELSE 'failed' END AS status FROM a JOIN w USING (case_id)""",
+    "run_rollup": f"WITH {A} SELECT status, count(case_id) AS n_cases FROM (VALUES ('success'), ('failed')) v(status) LEFT JOIN w ON (CASE WHEN bad IS NULL THEN 'success' ELSE 'failed' END) = status GROUP BY 1",
+    "concat_outcomes": f"""WITH {A}, n AS (SELECT case_id, count(*) AS n, (count(*) + case_id) % 4 AS t FROM a GROUP BY 1)
+      SELECT case_id, CASE WHEN n > 1 AND t = 3 THEN 'failed' ELSE 'success' END AS status, CASE WHEN n <= 1 THEN 'renamed' WHEN t = 0 THEN 'joined, parts removed' WHEN t = 3 THEN 'timeout' ELSE 'parts kept' END AS detail FROM n""",
+    "send_requests": f"""{ORACLES["request_manifest_whole"].replace("SELECT case_id, chunk_no, count(*) AS n_turns", ", q AS (SELECT case_id, chunk_no, count(*) AS n_turns", 1)}),
+      z AS (SELECT *, CASE WHEN {_length} % 11 = 0 THEN NULL WHEN {_length} % 7 <> 0 THEN 200 ELSE 429 END AS st FROM q),
+      y AS (SELECT case_id, min(chunk_no) FILTER (st IS NULL OR st <> 200) AS bad FROM z GROUP BY 1)
+      SELECT case_id, chunk_no, CASE WHEN bad IS NULL OR chunk_no <= bad THEN st END AS http_status, CASE WHEN bad IS NULL OR chunk_no < bad THEN {_length} % 100 WHEN chunk_no = bad AND st = 429 THEN 9 END AS n_bytes,
+        CASE WHEN chunk_no > bad THEN 'not attempted' WHEN chunk_no = bad AND st IS NULL THEN 'no answer' WHEN chunk_no = bad THEN 'slow down' END AS error FROM z JOIN y USING (case_id)""",
+}

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import codes as C
 from ..functions import text as X
@@ -17,6 +18,11 @@ from ..operators import planning as L
 from ..operators import status as S
 from ..operators import summary as U
 from ..operators import units as V
+from ..operators.drift import key_types
+from ..schema import CASE
+from ..sources import sinks
+from ..sources.cases import documents
+from ..sources.summary import specialties_of
 from ..sources.tables import first_delivery, table, without_redelivery
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,7 +226,13 @@ def summary_by_canonical_specialty(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _codes(spark: SparkSession, d: str) -> DataFrame:
-    return K.codes_of(cases(spark, d, "diagnostico_principal", "procedimientos"))
+    """Codes of all five lists: those of the cases, and of the items in ``entradas`` and ``medicaciones``, each item once."""
+    item = ["case_id", "idx", "nombre", "snomed_ct", "snomed_termino", "recibido_en"]
+    e = table(spark, d, "entradas").filter(F.col("lista").isin("diagnosticos_secundarios", "sintomas"))
+    e = first_delivery(e.select("entrada_id", "lista", "cie10", *item), ["entrada_id"]).withColumnRenamed("lista", "kind")
+    m = first_delivery(table(spark, d, "medicaciones").select("medicacion_id", "atc", *item), ["medicacion_id"]).withColumn("kind", F.lit("medicamentos"))
+    own = K.codes_of(cases(spark, d, "diagnostico_principal", "procedimientos"))
+    return own.unionByName(K.codes_of_items(e, K.LISTS["sintomas"])).unionByName(K.codes_of_items(m, K.LISTS["medicamentos"]))
 
 
 @query
@@ -243,35 +255,6 @@ def ambiguous_codes(spark: SparkSession, d: str) -> DataFrame:
     return K.ambiguous_codes(_codes(spark, d))
 
 
-def _codes_all_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Codes of all five lists: those of the cases, and of the items in ``entradas`` and ``medicaciones``, each item once."""
-    item = ["case_id", "idx", "nombre", "snomed_ct", "snomed_termino", "recibido_en"]
-    e = table(spark, d, "entradas").filter(F.col("lista").isin("diagnosticos_secundarios", "sintomas"))
-    e = first_delivery(e.select("entrada_id", "lista", "cie10", *item), ["entrada_id"]).withColumnRenamed("lista", "kind")
-    m = first_delivery(table(spark, d, "medicaciones").select("medicacion_id", "atc", *item), ["medicacion_id"]).withColumn("kind", F.lit("medicamentos"))
-    return _codes(spark, d).unionByName(K.codes_of_items(e, K.LISTS["sintomas"])).unionByName(K.codes_of_items(m, K.LISTS["medicamentos"]))
-
-
-@query
-def codes_relation_all_lists(spark: SparkSession, d: str) -> DataFrame:
-    return _codes_all_lists(spark, d)
-
-
-@query
-def distinct_codes_by_system_all_lists(spark: SparkSession, d: str) -> DataFrame:
-    return K.distinct_codes(_codes_all_lists(spark, d))
-
-
-@query
-def code_frequency_all_lists(spark: SparkSession, d: str) -> DataFrame:
-    return K.code_dimension(_codes_all_lists(spark, d))
-
-
-@query
-def ambiguous_codes_all_lists(spark: SparkSession, d: str) -> DataFrame:
-    return K.ambiguous_codes(_codes_all_lists(spark, d))
-
-
 @query
 def code_shape_check(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "entradas").select("entrada_id", "cie10", "snomed_ct").distinct()
@@ -350,14 +333,6 @@ def json_field_extract(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def body_mass_index(spark: SparkSession, d: str) -> DataFrame:
-    """From stated kg and cm only, the first reading of each by lectura_id."""
-    v = table(spark, d, "constantes").filter("valor is not null").select("lectura_id", "case_id", "nombre", "valor", "unidad").distinct()
-    first = v.filter("(nombre = 'peso' and unidad = 'kg') or (nombre = 'talla' and unidad = 'cm')").groupBy("case_id").pivot("nombre", ["peso", "talla"]).agg(F.min_by("valor", "lectura_id"))
-    return first.filter("peso is not null and talla is not null").select("case_id", F.bround(X.bmi(F.col("peso"), F.col("talla")), 3).alias("imc"))
-
-
-@query
-def body_mass_index_all_units(spark: SparkSession, d: str) -> DataFrame:
     """From peso and talla in the common units (kg, cm), however they are written; of each the first reading by lectura_id.
 
     Amounts that are not positive are no readings. ``incierto``: the unit of either reading is uncertain.
@@ -386,13 +361,13 @@ def misspelt_unit_key(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def summary_document(spark: SparkSession, d: str) -> DataFrame:
-    c = cases(spark, d, "especialidad", "diagnostico_principal", "procedimientos")
-    return U.summary_document(c, turns(spark, d, "texto"), K.codes_of(c))
+    return U.summary_document(cases(spark, d, "especialidad", "diagnostico_principal"), turns(spark, d, "texto"), _codes(spark, d))
 
 
 @query
-def summary_document_all_lists(spark: SparkSession, d: str) -> DataFrame:
-    return U.summary_document(cases(spark, d, "especialidad", "diagnostico_principal"), turns(spark, d, "texto"), _codes_all_lists(spark, d))
+def summary_keys_as_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The specialties of the summary document, read back from its text."""
+    return specialties_of(summary_document(spark, d), "document")
 
 
 @query
@@ -401,3 +376,95 @@ def centre_load(spark: SparkSession, d: str) -> DataFrame:
     t = without_redelivery(table(spark, d, "turnos").withColumn("n", F.length("texto").cast("long")), ["case_id", "seq"], ["centro_id", "n"])
     by = t.groupBy("centro_id").agg(F.count("*").alias("n_turns"), F.sum("n").alias("n_chars"))
     return by.join(table(spark, d, "centros"), "centro_id", "left").select("centro_id", "nombre", "n_turns", "n_chars")
+
+
+# Documents: the payloads of ``registros``, each a whole document in one row.
+
+
+def _documents(spark: SparkSession, d: str, *fields: str) -> DataFrame:
+    """registro_id and fields of every record once; what is written otherwise than the schema has it is null."""
+    r = table(spark, d, "registros").select("registro_id", "payload").distinct()
+    return documents(r, "payload", T.StructType([f for f in CASE if f.name in fields]))
+
+
+@query
+def document_status(spark: SparkSession, d: str) -> DataFrame:
+    """Of every record one row: whether its document can be voiced as it is written, and the first thing that stops it."""
+    docs = documents(table(spark, d, "registros").select("registro_id", "payload").distinct(), "payload")
+    return docs.select("registro_id", S.nested_reason().alias("reason")).withColumn("status", F.when(F.col("reason").isNull(), S.OK).otherwise(S.FAILED))
+
+
+@query
+def document_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The turns of the documents that hold phases and dialogues as lists, two levels down."""
+    t = D.turns_of(_documents(spark, d, "transcripcion"), "registro_id")
+    return t.select(F.col("case_id").alias("registro_id"), "phase_idx", "fase", "turn_idx", "seq", "rol", "texto")
+
+
+@query
+def document_vitals(spark: SparkSession, d: str) -> DataFrame:
+    """The entries of the vitals map of every document: open keys to rows."""
+    v = _documents(spark, d, "constantes_vitales")
+    return v.select("registro_id", F.explode("constantes_vitales").alias("nombre", "v")).select("registro_id", "nombre", "v.valor", "v.unidad")
+
+
+@query
+def schema_drift(spark: SparkSession, d: str) -> DataFrame:
+    """The keys at the top of the documents with the type of their value, and whether the schema has them so."""
+    return key_types(table(spark, d, "registros").select("registro_id", "payload").distinct(), "payload")
+
+
+@query
+def file_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Records to process by sender, each once."""
+    r = table(spark, d, "registros").select("registro_id", "remitente").distinct()
+    return r.groupBy("remitente").agg(F.count("*").alias("n"))
+
+
+# A run's answers: ``events`` stands for a log of calls, the case being the user, the chunk the event in order, and the status 200 but for
+# some values of ``k``.
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    status = F.when(k % 10 == 3, 500).when(k % 10 == 7, 201).when(k % 25 != 4, 200)
+    return e.select(F.col("user_id").alias("case_id"), F.col("event_id").alias("chunk_no"), status.alias("http_status"))
+
+
+@query
+def response_success(spark: SparkSession, d: str) -> DataFrame:
+    """Calls by whether they succeeded: exactly 200, no other and no missing status."""
+    return _answers(spark, d).groupBy("http_status", S.succeeded("http_status").alias("ok")).agg(F.count("*").alias("n"))
+
+
+@query
+def chunk_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What became of each chunk: the first failure ends its case, later chunks are not attempted."""
+    return S.chunk_outcome(_answers(spark, d))
+
+
+@query
+def run_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return S.rollup(S.chunk_outcome(_answers(spark, d)).select("case_id", "status").distinct())
+
+
+@query
+def concat_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Joining parts: cases by chunks and what the tool did (of the last answer), with status, detail and whether the parts are removed."""
+    tool = F.element_at(F.array(*map(F.lit, ("ok", "error", "absent", "timeout"))), (F.pmod(F.col("n_chunks") + F.col("case_id"), F.lit(4)) + 1).cast("int"))
+    runs = _answers(spark, d).groupBy("case_id").agg(F.count("*").alias("n_chunks")).withColumn("tool", tool)
+    return S.concat_outcome(runs)
+
+
+@query
+def send_requests(spark: SparkSession, d: str) -> DataFrame:
+    """The plan of ``request_manifest_whole`` sent to a call that answers by the length of the payload, without a network: one row a request."""
+
+    def call(payload: str) -> tuple[int, bytes]:
+        n = len(payload)
+        if n % 11 == 0:
+            raise TimeoutError("no answer")
+        return (200, b"x" * (n % 100)) if n % 7 else (429, b"slow down")
+
+    return sinks.send(request_manifest_whole(spark, d), call)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,38 +17,60 @@ CORRUPT = "_corrupt_record"
 def read_cases(spark: SparkSession, *roots: str, schema: T.StructType = CASE) -> DataFrame:
     """Rows of all ``*.json`` below the given folders (or of the given files), plus ``path`` (decoded) and ``_corrupt_record``.
 
-    A file Spark cannot parse is one row with ``_corrupt_record`` set. A file whose top level is an array yields a row an element;
-    ``one_row_a_file`` turns it into a single failed row. A path given twice is read twice. Files whose names start with ``.`` or
-    ``_`` are not listed by Spark; ``read_named`` reads them by explicit name. No path at all, or an empty folder, is an empty table.
+    One scan of all folders and one of all files named. A file Spark cannot parse is one row with ``_corrupt_record`` set. A file whose top level is an array yields a
+    row an element; ``one_row_a_file`` turns it into a single failed row. A path given twice is read twice, by a scan of those that
+    are; a file that lies below two of the folders is read once. Files whose names start with ``.`` or ``_`` are not listed by Spark; ``read_named`` reads them by explicit name. No path at all, or an
+    empty folder, is an empty table.
     """
     wanted = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    reader = spark.read.schema(wanted).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    parts = []
-    for root in roots:
-        own = reader if root.endswith(".json") else reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-        parts.append(own.json(root).select("*", decoded_path(F.col("_metadata.file_path")).alias("path")))
-    if not parts:
-        return spark.createDataFrame([], T.StructType([*wanted.fields, T.StructField("path", T.StringType())]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def read_named(spark: SparkSession, paths: list[str], schema: T.StructType = CASE) -> DataFrame:
-    """Files by name, hidden ones included: whole texts, parsed by ``from_json``. A missing file is a row with a null document and reason."""
+    scans: list[list[str]] = []
+    for some in ([r for r in roots if not r.endswith(".json")], [r for r in roots if r.endswith(".json")]):
+        while some:
+            scans.append(list(dict.fromkeys(some)))
+            for r in scans[-1]:
+                some.remove(r)
+    out = None
+    for paths in scans:
+        reader = spark.read.schema(wanted).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+        part = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(paths).select("*", decoded_path(F.col("_metadata.file_path")).alias("path"))
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], T.StructType([*wanted.fields, T.StructField("path", T.StringType())])) if out is None else out
+
+
+def read_named(spark: SparkSession, paths: list[str] | DataFrame, schema: T.StructType = CASE) -> DataFrame:
+    """Files by name, hidden ones and any suffix included, read by the executors: the document, ``pos`` (the place in the list, from 0),
+    ``path`` and ``_corrupt_record``. A path given twice is read twice. A missing file is a row with a null document and that reason.
+
+    ``paths``: a list, or a table of (pos, path). Paths are local or mounted, or URIs that Arrow knows. Bytes that are no UTF-8 become U+FFFD.
+    """
+    if not isinstance(paths, DataFrame):
+        paths = spark.createDataFrame(list(enumerate(paths)), "pos long, path string")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in batches:
+            for pos, path in zip(pdf["pos"], pdf["path"]):  # a file a batch: never more than one is held
+                try:
+                    where, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+                    with where.open_input_stream(at) as f:
+                        text = f.read().decode("utf-8", "replace")
+                except (OSError, ValueError):
+                    text = None
+                yield pd.DataFrame([(pos, path, text)], columns=["pos", "path", "payload"])
+
+    raw = paths.select("pos", "path").repartition(spark.sparkContext.defaultParallelism, "pos").mapInPandas(read, "pos long, path string, payload string")
+    return documents(raw, "payload", schema=schema, missing="missing file").select(*(f.name for f in schema.fields), CORRUPT, "pos", "path")
+
+
+def documents(df: DataFrame, text: str, schema: T.StructType = CASE, missing: str = "no document") -> DataFrame:
+    """The columns of ``df`` without ``text``, the fields of the document in it, and ``_corrupt_record``: the text where it is no document,
+    ``missing`` where it is null. Fields of another type than the schema's are null."""
     wanted = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    there = [(p, os.path.exists(p.removeprefix("file:"))) for p in paths]
-    rows = []
-    for p, ok in there:
-        if ok:
-            with open(p.removeprefix("file:"), encoding="utf-8", errors="replace") as f:
-                rows.append((p, f.read()))
-        else:
-            rows.append((p, None))
-    raw = spark.createDataFrame(rows, "path string, payload string")
-    doc = F.from_json("payload", wanted, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    return raw.withColumn("d", doc).select(*(F.col("d").getField(f.name).alias(f.name) for f in wanted.fields if f.name != CORRUPT), F.coalesce(F.col("d").getField(CORRUPT), F.when(F.col("payload").isNull(), F.lit("missing file"))).alias(CORRUPT), "path")
+    doc = F.from_json(text, wanted, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    rest = [c for c in df.columns if c != text and c not in wanted.names]
+    fields = (F.col("__d").getField(f.name).alias(f.name) for f in schema.fields)
+    return df.withColumn("__d", doc).select(*rest, *fields, F.coalesce(F.col("__d").getField(CORRUPT), F.when(F.col(text).isNull(), F.lit(missing))).alias(CORRUPT))
 
 
 def decoded_path(path: Column) -> Column:

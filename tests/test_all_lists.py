@@ -36,20 +36,20 @@ def want():
 
 
 def test_codes_of_all_five_lists(spark, want):
-    got = [tuple(r) for r in QUERIES["codes_relation_all_lists"](spark, SMALL).collect()]
+    got = [tuple(r) for r in QUERIES["codes_relation"](spark, SMALL).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert {g[1] for g in got} == {"diagnostico_principal", "diagnosticos_secundarios", "sintomas", "procedimientos", "medicamentos"}
 
 
 def test_counts_and_document_have_every_system(spark, want):
     distinct = {s: len({w[5] for w in want if w[4] == s}) for s in ("cie10", "snomed_ct", "atc")}
-    rows = QUERIES["distinct_codes_by_system_all_lists"](spark, SMALL).collect()
+    rows = QUERIES["distinct_codes_by_system"](spark, SMALL).collect()
     assert {r.system: (r.n_codes, r.n_occurrences) for r in rows} == {s: (n, sum(w[4] == s for w in want)) for s, n in distinct.items()}
-    doc = json.loads(QUERIES["summary_document_all_lists"](spark, SMALL).first().document)
+    doc = json.loads(QUERIES["summary_document"](spark, SMALL).first().document)
     assert doc["estadisticas_codigos"] == {f"{s}_unicos": n for s, n in distinct.items()}
     terms = {}
     for w in want:
         terms.setdefault((w[4], w[5]), set()).add(w[6])
     several = {k: len(t - {None}) for k, t in terms.items() if len(t - {None}) > 1}
-    assert {(r.system, r.code): r.n_terms for r in QUERIES["ambiguous_codes_all_lists"](spark, SMALL).collect()} == several
-    assert QUERIES["code_frequency_all_lists"](spark, SMALL).count() == len({w[4:] for w in want})
+    assert {(r.system, r.code): r.n_terms for r in QUERIES["ambiguous_codes"](spark, SMALL).collect()} == several
+    assert QUERIES["code_frequency"](spark, SMALL).count() == len({w[4:] for w in want})
