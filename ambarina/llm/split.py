@@ -149,15 +149,14 @@ def _placed(turns: DataFrame, limit: int) -> DataFrame:
 
 
 def _tries(total: Column, limit: int, overlap: int, turn: int) -> Column:
-    """The counts that dialogues try in a round, as an array of longs: the least; the next eight; those up to ONE_BY_ONE; the rest in steps
+    """The counts that dialogues try in a round, as an array of longs: the least; the next ONE_BY_ONE; the rest in steps
     that double, and the one that cannot fail."""
     least = F.expr(f"(total - {overlap} + {limit - overlap - 1}) div {limit - overlap}")
     sure = F.expr(f"((total - {overlap}) * {REACH + 2} + {(limit - overlap - 1) * REACH - 1}) div {(limit - overlap - 1) * REACH}")
     if turn == 0:
         return F.array(least)
-    if turn < 3:
-        first, last = ((1, 8), (9, ONE_BY_ONE))[turn - 1]
-        return F.filter(F.sequence(least + first, least + last), lambda k: k < sure)
+    if turn == 1:
+        return F.filter(F.sequence(least + 1, least + ONE_BY_ONE), lambda k: k < sure)
     far = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda j: least + ONE_BY_ONE + F.pow(F.lit(2.0), j).cast("long"))
     return F.array_distinct(F.array_append(F.filter(far, lambda k: k < sure), sure))
 
@@ -175,7 +174,7 @@ def split_dialogues(turns: DataFrame, limit: int, overlap: int) -> DataFrame:
     shortest = (limit - overlap - 1) // 7 - 1
     texts = turns.filter("case_id is not null and seq is not null").filter(F.length("texto") > shortest).select("case_id", "seq", "texto", F.length("texto").cast("long").alias("n"))
     done, left = None, placed
-    for turn in range(4):
+    for turn in range(3):
         tries = left.withColumn("k", F.explode(_tries(F.col("total"), limit, overlap, turn)))
         pieces = cut(_attempt(tries, texts, overlap))
         fits = pieces.groupBy("case_id", "k").agg(F.max(F.col("fin") - F.col("inicio")).alias("__m"), F.count("*").alias("__n")).filter((F.col("__m") <= limit) & (F.col("__n") == F.col("k")))
@@ -183,8 +182,8 @@ def split_dialogues(turns: DataFrame, limit: int, overlap: int) -> DataFrame:
         got = pieces.join(chosen, ["case_id", "k"], "left_semi").select("case_id", (F.col("i") - 1).alias("pieza"), "inicio", "fin", "corte")
         done = got if done is None else done.unionByName(got)
         left = left.join(chosen, "case_id", "left_anti")
-        if turn == 3 or left.isEmpty():
-            return done
+        if turn == 2 or left.isEmpty():
+            break
     return done
 
 
