@@ -1,8 +1,9 @@
 """How demanding a text is to read: smoothed unigram language models, one a level, and the level of highest posterior likelihood.
 
 The models are trained on texts whose level is known. Their number is bounded by a parameter (``MOST_LABELLED``; of more, those whose
-ids hash lowest), so the model has a bounded vocabulary and travels with the tasks; every text of the corpus is scored, whole. Where no
-level is known, texts are seeded by a readability formula instead (``seeds``).
+ids hash lowest), so the model has a bounded vocabulary and travels with the tasks; words are counted where the texts are, and no text
+reaches the driver. Every text of the corpus is scored, whole. Where no level is known, texts are seeded by a readability formula instead
+(``seeded``).
 
 The evidence of all words is summed, so headings, footers and a stray sentence weigh as little as they are long. Text read twice through
 a wrong encoding (``Ã³`` for ``ó``) is read as meant. Texts without a word have no level.
@@ -77,23 +78,52 @@ class Model:
 
 def train(labelled: list[tuple[str, int]], smoothing: float = SMOOTHING) -> Model:
     """A model from (text, level); every level counts as likely as another. Empty texts teach nothing; no text at all gives a flat model."""
-    counts = {lv: Counter() for lv in LEVELS}
+    counts: dict[int, Counter] = {}
     for text, lv in labelled:
         if text is not None and lv is not None:
             counts.setdefault(lv, Counter()).update(words(text))
+    return model_of(counts, smoothing)
+
+
+def model_of(counts: dict[int, Counter], smoothing: float = SMOOTHING) -> Model:
+    """A model from the counts of words in each level."""
     levels = tuple(sorted(lv for lv, c in counts.items() if c)) or LEVELS
     vocabulary = set().union(*counts.values())
-    totals = [sum(counts[lv].values()) + smoothing * (len(vocabulary) + 1) for lv in levels]
+    totals = [sum(counts.get(lv, Counter()).values()) + smoothing * (len(vocabulary) + 1) for lv in levels]
     table = {w: tuple(math.log((counts[lv][w] + smoothing) / t) for lv, t in zip(levels, totals)) for w in vocabulary}
     return Model(levels, tuple(-math.log(len(levels)) for _ in levels), table)
 
 
-def labelled_texts(documents: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text", level: str = "nivel", most: int = MOST_LABELLED) -> list[tuple[str, int]]:
-    """At most ``most`` texts with their level. Two levels for one document both count, as do copies under other ids."""
+def fitted(labelled: DataFrame, smoothing: float = SMOOTHING) -> Model | None:
+    """``train`` of a table (text, level) of bounded size, its words counted in the tasks; None if it has none."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c: Counter = Counter()
+        for batch in batches:
+            for text, lv in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+                if text is not None and lv is not None:
+                    c.update((lv, w) for w in words(text))
+        keys = list(c)
+        yield pa.RecordBatch.from_arrays([pa.array([lv for lv, _ in keys], pa.int32()), pa.array([w for _, w in keys], pa.string()), pa.array([c[k] for k in keys], pa.int64())], names=["lv", "w", "n"])
+
+    text, level = labelled.columns
+    rows = labelled.select(text, F.col(level).cast("int")).mapInArrow(count, "lv int, w string, n long").groupBy("lv", "w").agg(F.sum("n").alias("n"))
+    counts: dict[int, Counter] = {}
+    for r in rows.collect():  # the vocabulary of at most MOST_LABELLED texts
+        counts.setdefault(r.lv, Counter())[r.w] = r.n
+    return model_of(counts, smoothing) if counts else None
+
+
+def labelled(documents: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text", level: str = "nivel", most: int = MOST_LABELLED) -> DataFrame:
+    """text and level of at most ``most`` documents. Two levels for one document both count, as do copies under other ids."""
     k = known.filter(F.col(key).isNotNull() & F.col(level).isNotNull()).select(key, level).distinct()
     k = k.orderBy(F.xxhash64(key), level).limit(most)
-    rows = documents.filter(F.col(text).isNotNull()).select(key, text).join(F.broadcast(k), key).select(text, level).collect()  # k has at most ``most`` rows
-    return [tuple(r) for r in rows]
+    return documents.filter(F.col(text).isNotNull()).select(key, text).join(F.broadcast(k), key).select(text, level)  # k has at most ``most`` rows
+
+
+def labelled_texts(documents: DataFrame, known: DataFrame, **named) -> list[tuple[str, int]]:
+    """``labelled`` as a list, for held-out tests."""
+    return [tuple(r) for r in labelled(documents, known, **named).collect()]
 
 
 def perspicuity(text: Column) -> Column:
@@ -104,13 +134,16 @@ def perspicuity(text: Column) -> Column:
     return F.when(n_words > 0, 206.835 - 62.3 * syllables / n_words - n_words / sentences)
 
 
-def seeds(documents: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST_LABELLED) -> list[tuple[str, int]]:
-    """At most ``most`` texts with a level by formula, to train on where no level is known. Bounds of the INFLESZ scale."""
+def seeded(documents: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST_LABELLED) -> DataFrame:
+    """text and level by formula of at most ``most`` documents, to train on where no level is known. Bounds of the INFLESZ scale."""
     p = perspicuity(F.col(text))
     lv = F.when(p > 80, 1).when(p > 65, 2).when(p > 40, 3).otherwise(4)
     picked = documents.filter(p.isNotNull()).select(F.xxhash64(key).alias("h"), key).orderBy("h", key).limit(most).select(key)
-    rows = documents.join(F.broadcast(picked), key).select(text, lv.alias("l")).collect()  # at most ``most`` rows
-    return [tuple(r) for r in rows]
+    return documents.join(F.broadcast(picked), key).select(text, lv.alias("nivel"))  # at most ``most`` ids
+
+
+def seeds(documents: DataFrame, **named) -> list[tuple[str, int]]:
+    return [tuple(r) for r in seeded(documents, **named).collect()]
 
 
 def spanish(lang: Column) -> Column:

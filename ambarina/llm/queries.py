@@ -64,7 +64,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _levels(spark: SparkSession, d: str, *keep: str) -> DataFrame:
     documents = table(spark, d, "documents")
-    model = level.train(level.labelled_texts(documents, table(spark, d, "niveles_muestra")) or level.seeds(documents))
+    model = level.fitted(level.labelled(documents, table(spark, d, "niveles_muestra"))) or level.fitted(level.seeded(documents)) or level.train([])
     return level.levels(documents, model, keep=keep)
 
 

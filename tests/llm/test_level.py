@@ -46,6 +46,13 @@ def test_seeds_and_bound(spark):
     assert len(L.labelled_texts(df, known)) == 40 and len(L.labelled_texts(df, known, most=5)) <= 5
 
 
+def test_counting_in_tasks_gives_the_same_model(spark):
+    rows = [(EASY * 3 + HARD, 1), (HARD * 3, 4), (None, 2), ("", 3), ("palabra normal de todos", 2), ("sin nivel", None)]
+    df = spark.createDataFrame(rows * 3, "text string, nivel int").repartition(5)
+    assert L.fitted(df) == L.train(rows * 3)
+    assert L.fitted(df.filter("text is null")) is None
+
+
 def test_held_out_accuracy(spark):
     import os
 
