@@ -36,7 +36,8 @@ def spread(df: DataFrame, key: str, least: int | None = None) -> DataFrame:
 
     A table in fewer splits than that is small, and shuffled for it; large tables and results of shuffles stay as they are.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    query = df._jdf.queryExecution()
+    if query.executedPlan().nodeName() == "AdaptiveSparkPlan":  # it shuffles, and is planned as it runs
         return df
     cores = least or df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * 2, F.col(f"`{key}`"))
+    return df if query.toRdd().getNumPartitions() >= cores else df.repartition(cores * 2, F.col(f"`{key}`"))
