@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -63,21 +64,35 @@ SAME = {"agudo": "aguda", "cronico": "cronica"}
 #: Two words without content written together.
 STOP_PAIRS = frozenset(a + b for a in STOP for b in STOP if len(a + b) > 3)
 
+_NO_CODE, _BEFORE_CODE = re.compile(r"[^a-z0-9.,]"), re.compile(r"cie\W*10\W*|cod(igo)?\W*")
+_DIGIT = re.compile(r"\d")
 _CODE = re.compile(r"\b[a-z]\s?\d\d(?:\s?[.,]\s?\d{1,2}|\d{1,2})?(?![a-z0-9])")
 _NEAR = {"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "8": "b", "|": "l", "$": "s"}
 
 
+class _Bare(dict):
+    """Of each character what is left without accents and invisible marks, found once."""
+
+    def __missing__(self, at: int) -> str:
+        self[at] = out = "".join(c for c in unicodedata.normalize("NFKD", chr(at)) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+        return out
+
+
+_BARE = _Bare()
+
+
 def plain(text: str | None) -> str:
     """Mended, lower case, without accents; null is empty."""
     if text is None or text != text:
         return ""
-    t = unicodedata.normalize("NFKD", mended(text).lower())
-    return "".join(c for c in t if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+    return text.lower() if text.isascii() else mended(text).lower().translate(_BARE)
 
 
 def code(text: str | None) -> str:
     """A code as the list writes it: ``cod. e345`` is E34.5; empty if there is none."""
-    t = re.sub(r"[^a-z0-9.,]", "", re.sub(r"cie\W*10\W*|cod(igo)?\W*", "", plain(text)))
+    if text is None or not _DIGIT.search(text):
+        return ""
+    t = _NO_CODE.sub("", _BEFORE_CODE.sub("", plain(text)))
     m = re.fullmatch(r"([a-z]\d\d)[.,]?(\d{0,3})", t)
     return "" if not m else (m[1] + ("." + m[2] if m[2] else "")).upper()
 
@@ -86,6 +101,18 @@ def distance(a: str, b: str, most: int) -> int:
     """Edits between two words, neighbours swapped counting one; ``most`` + 1 if more than ``most``."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    if a == b:
+        return 0
+    # what both begin and end with takes no edit
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    if not a or not b:
+        return len(a) + len(b)
     before: list[int] = []
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -217,15 +244,17 @@ class Forms:
             for d in _deletes(w, slips(w + "xxx")):
                 self.less[d].append(w)
         self.around = lru_cache(200_000)(self._around)
+        self.within_one = lru_cache(200_000)(self._within_one)
         self.nothing = {p.replace(" ", "") for p in NOTHING}
         self.own_words = frozenset(w for w, f in self.facts.items() if f.own or f.listed and w not in self.vocabulary) | frozenset(w for w, n in (words or {}).items() if self.own_word(w, *n, words.get))
         self.options = lru_cache(200_000)(self._options)
         self._grams_of = lru_cache(200_000)(lambda ws: grams(Token(w, False) for w in ws))
+        self.candidates = lru_cache(200_000)(self._candidates)  # texts mistyped in many ways read alike
         self.meaning = lru_cache(200_000)(self._meaning)
 
     # --- the similarity join
 
-    def candidates(self, found: frozenset[str], similar: float | None = None) -> dict[int, float]:
+    def _candidates(self, found: frozenset[str], similar: float | None = None) -> dict[int, float]:
         """{form: Jaccard} of all forms similar enough to a set of trigrams; ``similar``: not below what the index was made for."""
         size = len(found)
         if not size:
@@ -282,9 +311,16 @@ class Forms:
                 out.append((v, d))
         return tuple(out)
 
+    def _within_one(self, word: str) -> tuple[tuple[str, int], ...]:
+        """Of ``around`` those at one edit or none: they share a word with at most one letter left out of each."""
+        if len(word) > self.longest_word + 1:
+            return ()
+        found = {v for d in _deletes(word, 1) for v in self.less.get(d, ())}
+        return tuple((v, d) for v in sorted(found) if (d := distance(word, v, 1)) <= min(1, slips(max(word, v, key=len))))
+
     def _near(self, word: str, most: int) -> list[tuple[str, int]]:
         """The nearest words of each language of the list within ``most`` edits, and within what the longer of the two allows."""
-        around = [x for x in self.around(word) if x[1] <= most]
+        around = self.within_one(word) if most == 1 else [x for x in self.around(word) if x[1] <= most]
         if not around:
             return []
         out: dict[tuple[str, int], None] = {}
@@ -363,10 +399,12 @@ class Forms:
         return best
 
     def _similar(self, readings: list, rest: list[Token]) -> dict[int, float]:
-        """{form: Jaccard} of the forms similar to what a text reads as in a language of the list: of each word the nearest readings there."""
+        """{form: Jaccard} of the forms similar to what a text reads as in a language of the list: of each word the nearest readings there.
+        If every word can be read in some languages, no form of another has them all."""
         out: dict[int, float] = {}
         other = grams(rest)
-        for words_ in self.languages.values():
+        whole = [ws for ws in self.languages.values() if all(any(all(w in ws for w in x[0]) for x in options) for options in readings)]
+        for words_ in whole or self.languages.values():
             found: set[str] = set(other)
             for options in readings:
                 own = [x for x in options if all(w in words_ for w in x[0])] or options
@@ -442,7 +480,7 @@ class Forms:
             readings.append(o)
         readings = [r for r in readings if r and r[0]]
         if not readings:
-            return "nada" if tail is None else "fuera", ()
+            return "nada" if tail is None and odd is None else "fuera", ()  # an unknown word says something
         rest = [Token(w, short) for w, short in ((odd, False), (tail, True)) if w]
         full, part = self._checked(self._similar(readings, rest), readings, odd, tail)
         if not full:  # what stays open is similar as typed
@@ -622,9 +660,10 @@ def resolve(entries: DataFrame, terms: DataFrame, key: str = "entrada_id", simil
             snomed[x.snomed].add(x.key)
     by_snomed = {k: frozenset(v) for k, v in snomed.items()}
     schema = _resolved(entries, key)
+    made = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forms = Forms(entries_, counts, words, similar)
+        forms = _at_hand(made, lambda: Forms(entries_, counts, words, similar))
         for pdf in batches:
             out = []
             for k, *fields in pdf.itertuples(index=False):
@@ -636,6 +675,17 @@ def resolve(entries: DataFrame, terms: DataFrame, key: str = "entrada_id", simil
     return spread(entries.select(key, "nombre", "cie10", "snomed_ct", "snomed_termino"), key).mapInPandas(run, schema).distinct()
 
 
+_HELD: dict[str, Forms] = {}
+
+
+def _at_hand(made: str, make) -> Forms:
+    """The list of one call of ``resolve``, kept by a Python worker from task to task with what it has read; the one before is dropped."""
+    if made not in _HELD:
+        _HELD.clear()
+        _HELD[made] = make()
+    return _HELD[made]
+
+
 def _resolved(entries: DataFrame, key: str) -> T.StructType:
     return T.StructType([entries.schema[key], T.StructField("termino_id", T.IntegerType()), T.StructField("veredicto", T.StringType())])
 
