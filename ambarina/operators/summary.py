@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import folded
 from .codes import distinct_codes
 
 
-def totals(cases: DataFrame, turns: DataFrame) -> DataFrame:
-    """One row: cases, specialties as written, turns, characters."""
+def totals(cases: DataFrame, turns: DataFrame, size: Column | None = None) -> DataFrame:
+    """One row: cases, specialties as written, turns, characters. ``size``: the length of the text of turns that come without it."""
+    size = F.length("texto").cast("long") if size is None else size
     c = cases.agg(F.count("*").alias("n_cases"), F.countDistinct("especialidad").alias("n_especialidades"))
-    t = turns.agg(F.count("*").alias("n_turns"), F.coalesce(F.sum(F.length("texto").cast("long")), F.lit(0)).cast("long").alias("n_chars"))
+    t = turns.agg(F.count("*").alias("n_turns"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("n_chars"))
     return side_by_side(c, t)
 
 
@@ -41,9 +42,9 @@ def validation_sources(cases: DataFrame) -> DataFrame:
     return s.select(F.split("s", " - ", 2)[0].alias("fuente")).distinct()
 
 
-def summary_document(cases: DataFrame, turns: DataFrame, codes: DataFrame) -> DataFrame:
+def summary_document(cases: DataFrame, turns: DataFrame, codes: DataFrame, size: Column | None = None) -> DataFrame:
     """One row, ``document``: the summary as nested JSON with specialty names as keys, in their order. Specialties are few by nature."""
-    t = totals(cases, turns)
+    t = totals(cases, turns, size)
     s = by_specialty(cases).filter("especialidad is not null").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("especialidad", F.struct("total", "comunes", "raras").alias("v"))))).alias("especialidades"))
     k = distinct_codes(codes).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("system", "n_codes")))).alias("k"))
     one = side_by_side(t, s, k)

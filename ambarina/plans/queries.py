@@ -44,6 +44,11 @@ def cases(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return first_delivery(t.select("id", "recibido_en", *columns), ["id"]).drop("recibido_en")
 
 
+def _lengths(spark: SparkSession, d: str) -> DataFrame:
+    """case_id, seq and n, the length of the text, of every turn once."""
+    return without_redelivery(table(spark, d, "turnos").withColumn("n", F.length("texto").cast("long")), ["case_id", "seq"], ["n"])
+
+
 @query
 def scan_dialogue_sorted(spark: SparkSession, d: str) -> DataFrame:
     return turns(spark, d, "rol", "texto").orderBy("case_id", "seq")
@@ -61,14 +66,14 @@ def voice_dimension(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def nest_unnest_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    nested = D.nest_turns(turns(spark, d, "rol", "texto"), "seq", "rol", "texto")
-    return nested.select("case_id", F.explode("inputs").alias("t")).select("case_id", "t.seq", "t.rol", "t.texto")
+    """Turns as ordered lists, a list a stretch of a case, and back."""
+    nested = P.stretches(table(spark, d, "turnos"), "rol", "texto")
+    return nested.select("case_id", F.explode("__t").alias("t")).select("case_id", "t.seq", "t.rol", "t.texto")
 
 
 @query
 def case_measures(spark: SparkSession, d: str) -> DataFrame:
-    lengths = without_redelivery(table(spark, d, "turnos").withColumn("n", F.length("texto").cast("long")), ["case_id", "seq"], ["n"])
-    return lengths.groupBy("case_id").agg(F.count("*").alias("n_turns"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_chars"))
+    return _lengths(spark, d).groupBy("case_id").agg(F.count("*").alias("n_turns"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_chars"))
 
 
 @query
@@ -211,7 +216,7 @@ def size_totals_mb(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def summary_totals(spark: SparkSession, d: str) -> DataFrame:
-    return U.totals(cases(spark, d, "especialidad"), turns(spark, d, "texto"))
+    return U.totals(cases(spark, d, "especialidad"), _lengths(spark, d), F.col("n"))
 
 
 @query
@@ -317,13 +322,14 @@ def specialty_mismatch(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tag_extract(spark: SparkSession, d: str) -> DataFrame:
-    t = turns(spark, d, "texto")
-    return t.select("case_id", "seq", X.leading_tag(F.col("texto")).alias("tag"), F.size(X.tags(F.coalesce("texto", F.lit("")))).cast("long").alias("n_tags"))
+    t = table(spark, d, "turnos").withColumns({"tag": X.leading_tag(F.col("texto")), "n_tags": F.size(X.tags(F.coalesce("texto", F.lit("")))).cast("long")})
+    return without_redelivery(t, ["case_id", "seq"], ["tag", "n_tags"])  # after the tags are read, so that no text is shuffled
 
 
 @query
 def tag_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return turns(spark, d, "texto").groupBy(X.leading_tag(F.col("texto")).alias("tag")).agg(F.count("*").alias("n")).filter("tag is not null")
+    t = without_redelivery(table(spark, d, "turnos").withColumn("tag", X.leading_tag(F.col("texto"))), ["case_id", "seq"], ["tag"])
+    return t.groupBy("tag").agg(F.count("*").alias("n")).filter("tag is not null")
 
 
 @query
@@ -361,7 +367,7 @@ def misspelt_unit_key(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def summary_document(spark: SparkSession, d: str) -> DataFrame:
-    return U.summary_document(cases(spark, d, "especialidad", "diagnostico_principal"), turns(spark, d, "texto"), _codes(spark, d))
+    return U.summary_document(cases(spark, d, "especialidad", "diagnostico_principal"), _lengths(spark, d), _codes(spark, d), F.col("n"))
 
 
 @query
