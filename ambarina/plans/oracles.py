@@ -167,3 +167,14 @@ ORACLES |= {
       SELECT case_id, chunk_no, CASE WHEN bad IS NULL OR chunk_no <= bad THEN st END AS http_status, CASE WHEN bad IS NULL OR chunk_no < bad THEN {_length} % 100 WHEN chunk_no = bad AND st = 429 THEN 9 END AS n_bytes,
         CASE WHEN chunk_no > bad THEN 'not attempted' WHEN chunk_no = bad AND st IS NULL THEN 'no answer' WHEN chunk_no = bad THEN 'slow down' END AS error FROM z JOIN y USING (case_id)""",
 }
+
+_no_turn = "list_bool_or(list_transform(flatten(list_transform(CAST(json_extract(payload, '$.transcripcion') AS JSON[]), lambda p: CAST(json_extract(p, '$.dialogos') AS JSON[]))), lambda t: {0}))"
+ORACLES["document_status"] = f"""WITH r AS (SELECT DISTINCT registro_id, payload FROM registros),
+  x AS (SELECT registro_id, CASE WHEN payload IS NULL OR NOT json_valid(payload) THEN 'unreadable document' WHEN json_type(payload) <> 'OBJECT' THEN 'unreadable document'
+    WHEN payload->>'$.id' IS NULL THEN 'no id' WHEN payload->>'$.audio_file' IS NULL THEN 'no audio_file' WHEN payload->>'$.diagnostico_principal.nombre' IS NULL THEN 'no diagnostico_principal.nombre'
+    WHEN payload->>'$.voces.medico_voice_id' IS NULL THEN 'no voces.medico_voice_id' WHEN payload->>'$.voces.paciente_voice_id' IS NULL THEN 'no voces.paciente_voice_id'
+    WHEN json_type(payload, '$.transcripcion') IS DISTINCT FROM 'ARRAY' THEN 'no transcripcion'
+    WHEN list_bool_or(list_transform(CAST(json_extract(payload, '$.transcripcion') AS JSON[]), lambda p: json_type(p, '$.dialogos') IS DISTINCT FROM 'ARRAY')) THEN 'phase without dialogos'
+    WHEN {_no_turn.format("t->>'$.rol' IS NULL")} THEN 'turn without rol' WHEN {_no_turn.format("t->>'$.texto' IS NULL")} THEN 'turn without texto'
+    WHEN {_no_turn.format("t->>'$.rol' NOT IN ('medico', 'paciente')")} THEN 'role without voice' END AS reason FROM r)
+  SELECT registro_id, reason, {OK} AS status FROM x"""

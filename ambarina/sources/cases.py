@@ -17,7 +17,8 @@ CORRUPT = "_corrupt_record"
 def read_cases(spark: SparkSession, *roots: str, schema: T.StructType = CASE) -> DataFrame:
     """Rows of all ``*.json`` below the given folders (or of the given files), plus ``path`` (decoded) and ``_corrupt_record``.
 
-    One scan of all folders and one of all files named. A file Spark cannot parse is one row with ``_corrupt_record`` set. A file whose top level is an array yields a
+    One scan of all folders and one of all files named. A file that is no JSON object is one row with ``_corrupt_record`` set; a field of
+    another type than the schema's is null and leaves the others as they are. A file whose top level is an array yields a
     row an element; ``one_row_a_file`` turns it into a single failed row. A path given twice is read twice, by a scan of those that
     are; a file that lies below two of the folders is read once. Files whose names start with ``.`` or ``_`` are not listed by Spark; ``read_named`` reads them by explicit name. No path at all, or an
     empty folder, is an empty table.
@@ -33,6 +34,7 @@ def read_cases(spark: SparkSession, *roots: str, schema: T.StructType = CASE) ->
     for paths in scans:
         reader = spark.read.schema(wanted).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
         part = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(paths).select("*", decoded_path(F.col("_metadata.file_path")).alias("path"))
+        part = part.withColumn(CORRUPT, unreadable(F.col(CORRUPT), F.col(CORRUPT)))
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], T.StructType([*wanted.fields, T.StructField("path", T.StringType())])) if out is None else out
 
@@ -63,14 +65,20 @@ def read_named(spark: SparkSession, paths: list[str] | DataFrame, schema: T.Stru
     return documents(raw, "payload", schema=schema, missing="missing file").select(*(f.name for f in schema.fields), CORRUPT, "pos", "path")
 
 
+def unreadable(text: Column, corrupt: Column) -> Column:
+    """``text`` where it is no JSON object. ``corrupt`` is what Spark's reader has for it, which is also set where only a type differs."""
+    v = F.try_parse_json(text)
+    return F.when(corrupt.isNotNull() & (v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT")), text)
+
+
 def documents(df: DataFrame, text: str, schema: T.StructType = CASE, missing: str = "no document") -> DataFrame:
-    """The columns of ``df`` without ``text``, the fields of the document in it, and ``_corrupt_record``: the text where it is no document,
+    """The columns of ``df`` without ``text``, the fields of the document in it, and ``_corrupt_record``: the text where it is no JSON object,
     ``missing`` where it is null. Fields of another type than the schema's are null."""
     wanted = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     doc = F.from_json(text, wanted, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     rest = [c for c in df.columns if c != text and c not in wanted.names]
     fields = (F.col("__d").getField(f.name).alias(f.name) for f in schema.fields)
-    return df.withColumn("__d", doc).select(*rest, *fields, F.coalesce(F.col("__d").getField(CORRUPT), F.when(F.col(text).isNull(), F.lit(missing))).alias(CORRUPT))
+    return df.withColumn("__d", doc).select(*rest, *fields, F.coalesce(unreadable(F.col(text), F.lit(1)), F.when(F.col(text).isNull(), F.lit(missing))).alias(CORRUPT))
 
 
 def decoded_path(path: Column) -> Column:

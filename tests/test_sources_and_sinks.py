@@ -38,6 +38,18 @@ def test_roots_in_one_scan(spark, tmp_path):
     assert plan.count("FileScan") == 1
 
 
+def test_another_type_is_no_unreadable_document(spark, tmp_path):
+    """A field of another type than the schema's is null; whether the case can be voiced depends on the fields that matter."""
+    doc = {"id": "a", "audio_file": "a.mp3", "diagnostico_principal": {"nombre": "d"}, "voces": {"medico_voice_id": "m", "paciente_voice_id": "p"}, "paciente": {"edad": "doce"}, "sintomas": "[]", "transcripcion": [{"fase": "x", "dialogos": [{"rol": "medico", "texto": "t"}]}]}
+    (tmp_path / "a.json").write_text(json.dumps(doc, indent=1))
+    (tmp_path / "b.json").write_text(json.dumps(doc | {"transcripcion": {"x": []}}))
+    (tmp_path / "c.json").write_text("5")
+    (tmp_path / "d.json").write_text('{"id": ')
+    want = {"a": None, "b": "no transcripcion", "c": "unreadable document", "d": "unreadable document"}
+    for cases in (R.read_cases(spark, str(tmp_path)), R.read_named(spark, [str(tmp_path / f"{c}.json") for c in "abcd"])):
+        assert {r.path.rsplit("/", 1)[-1][0]: r.reason for r in S.nested_status(cases).collect()} == want
+
+
 def test_drift_names_what_the_schema_lacks(spark):
     texts = ['{"id": 5, "unitem": "kg", "sintomas": {"a": 1}}', '{"id": "x", "constantes_vitales": null, "nueva": [1.5]}', "[1]", None, '{"id": ', "{}"]
     got = {(r.key, r.tipo): (r.n, r.declarado) for r in drift.key_types(spark.createDataFrame([(t,) for t in texts], "payload string"), "payload").collect()}
