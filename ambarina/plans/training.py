@@ -60,26 +60,35 @@ ORACLES["p4_rejected"] = """SELECT DISTINCT registro_id, CASE WHEN payload IS NU
 # of keys that name phases, or the value itself
 _OPENED = "CASE WHEN json_type({0}) = 'VARCHAR' AND regexp_full_match(trim({0}->>'$'), '[\\[{{].*[\\]}}]', 's') AND json_valid({0}->>'$') THEN CAST({0}->>'$' AS JSON) ELSE {0} END"
 _LISTS = "('transcripcion', 'dialogos', 'medicamentos', 'diagnosticos_secundarios', 'sintomas')"
-ORACLES["p4_found"] = f"""WITH RECURSIVE r AS (SELECT DISTINCT registro_id, CAST(payload AS JSON) AS j FROM registros WHERE json_valid(payload)),
- t AS (SELECT registro_id, {_OPENED.format('j')} AS v, 'caso' AS o, -1 AS op, CAST(NULL AS VARCHAR) AS lista, CAST(NULL AS VARCHAR) AS padre, CAST(NULL AS INTEGER) AS pp, CAST(NULL AS INTEGER) AS pos FROM r
+_TABLE = f"k IN {_LISTS}"
+_INSIDE = "((k = 'dialogos' AND o = 'transcripcion') OR (k = 'medicamentos' AND o = 'diagnosticos_secundarios'))"
+_PHASE = _OPENED.format("json_extract(c, '/' || x)")
+_ELEMENTS = f"""WITH RECURSIVE r AS (SELECT DISTINCT registro_id, CAST(payload AS JSON) AS j FROM registros WHERE json_valid(payload)),
+ t AS (SELECT registro_id, {_OPENED.format('j')} AS v, '' AS path, 'caso' AS o, -1 AS op, 'caso' AS tabla, '' AS clave, CAST(NULL AS VARCHAR) AS lista, CAST(NULL AS VARCHAR) AS padre_lista, CAST(NULL AS INTEGER) AS padre_pos,
+    CAST(NULL AS INTEGER) AS pos, CAST(NULL AS VARCHAR) AS padre_tabla, CAST(NULL AS VARCHAR) AS padre_clave FROM r
   UNION ALL
-  SELECT registro_id, {_OPENED.format('e.e')}, CASE WHEN k IN {_LISTS} THEN k ELSE o END, CASE WHEN k IN {_LISTS} THEN e.p ELSE op END, CASE WHEN k IN {_LISTS} THEN k END,
-    CASE WHEN (k = 'dialogos' AND o = 'transcripcion') OR (k = 'medicamentos' AND o = 'diagnosticos_secundarios') THEN o ELSE 'caso' END,
-    CASE WHEN (k = 'dialogos' AND o = 'transcripcion') OR (k = 'medicamentos' AND o = 'diagnosticos_secundarios') THEN op ELSE -1 END, e.p
-  FROM (SELECT registro_id, o, op, k, unnest(CASE
+  SELECT registro_id, {_OPENED.format('e.e')}, e.path, CASE WHEN {_TABLE} THEN k ELSE o END, CASE WHEN {_TABLE} THEN e.p ELSE op END, CASE WHEN {_TABLE} THEN k ELSE tabla END, CASE WHEN {_TABLE} THEN e.path ELSE clave END,
+    CASE WHEN {_TABLE} THEN k END, CASE WHEN {_INSIDE} THEN o ELSE 'caso' END, CASE WHEN {_INSIDE} THEN op ELSE -1 END, e.p, tabla, clave
+  FROM (SELECT registro_id, o, op, tabla, clave, k, unnest(list_transform(CASE
       WHEN k IS NULL OR k NOT IN {_LISTS} THEN [{{'p': -1, 'e': c}}]
       WHEN json_type(c) = 'ARRAY' THEN list_transform(CAST(c AS JSON[]), lambda x, i: {{'p': CAST(i - 1 AS INTEGER), 'e': x}})
       WHEN json_type(c) = 'OBJECT' AND len(json_keys(c)) = 0 THEN []
       WHEN json_type(c) = 'OBJECT' AND list_bool_and(list_transform(json_keys(c), lambda x: regexp_full_match(x, '[0-9]+'))) THEN list_transform(json_keys(c), lambda x: {{'p': CAST(x AS INTEGER), 'e': json_extract(c, '/' || x)}})
       WHEN json_type(c) = 'OBJECT' AND k = 'transcripcion' AND NOT list_has_any(json_keys(c), ['fase', 'dialogos']) THEN list_transform(json_keys(c), lambda x, i: {{'p': CAST(i - 1 AS INTEGER), 'e':
-        CASE WHEN list_has_any(json_keys({_OPENED.format("json_extract(c, '/' || x)")}), ['fase', 'dialogos']) THEN {_OPENED.format("json_extract(c, '/' || x)")} ELSE json_object('dialogos', json_extract(c, '/' || x)) END}})
+        CASE WHEN list_has_any(json_keys({_PHASE}), ['fase']) THEN {_PHASE} WHEN list_has_any(json_keys({_PHASE}), ['dialogos']) THEN json_merge_patch(json_object('fase', x), {_PHASE})
+          ELSE json_object('fase', x, 'dialogos', json_extract(c, '/' || x)) END}})
       WHEN json_type(c) = 'VARCHAR' AND c->>'$' = '' THEN []
-      ELSE [{{'p': 0, 'e': c}}] END) AS e
-    FROM (SELECT registro_id, o, op, u.k AS k, {_OPENED.format('u.c')} AS c FROM (SELECT registro_id, o, op, unnest(CASE json_type(v)
-        WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda x: {{'k': x, 'c': json_extract(v, '/' || replace(replace(x, '~', '~0'), '/', '~1'))}})
-        WHEN 'ARRAY' THEN list_transform(CAST(v AS JSON[]), lambda x: {{'k': CAST(NULL AS VARCHAR), 'c': x}}) ELSE [] END) AS u FROM t)))
-  WHERE json_type(e.e) <> 'NULL' AND (k IN {_LISTS} OR json_type(e.e) IN ('OBJECT', 'ARRAY')))
- SELECT DISTINCT registro_id, lista, padre AS padre_lista, pp AS padre_pos, pos FROM t WHERE lista IS NOT NULL"""
+      ELSE [{{'p': 0, 'e': c}}] END, lambda y: {{'p': y.p, 'e': y.e, 'path': CASE WHEN {_TABLE} THEN path || '/' || y.p ELSE path END}})) AS e
+    FROM (SELECT registro_id, o, op, tabla, clave, u.k AS k, u.path AS path, {_OPENED.format('u.c')} AS c FROM (SELECT registro_id, o, op, tabla, clave, unnest(CASE json_type(v)
+        WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda x: {{'k': x, 'c': json_extract(v, '/' || replace(replace(x, '~', '~0'), '/', '~1')), 'path': path || '/' || replace(replace(x, '~', '~0'), '/', '~1')}})
+        WHEN 'ARRAY' THEN list_transform(CAST(v AS JSON[]), lambda x, i: {{'k': CAST(NULL AS VARCHAR), 'c': x, 'path': path || '/' || (i - 1)}}) ELSE [] END) AS u FROM t)))
+  WHERE json_type(e.e) <> 'NULL' AND ({_TABLE} OR json_type(e.e) IN ('OBJECT', 'ARRAY')))"""
+_CODED = "cie10 nombre snomed_ct snomed_termino"
+_COLUMNS = {"transcripcion": "fase", "dialogos": "audio_tag rol texto", "medicamentos": "atc dosis indicacion nombre posologia", "diagnosticos_secundarios": _CODED, "sintomas": _CODED}
+ORACLES["p4_found"] = f"{_ELEMENTS} SELECT DISTINCT registro_id, lista, padre_lista, padre_pos, pos FROM t WHERE lista IS NOT NULL"
+for _lista, _names in _COLUMNS.items():
+    _values = ", ".join(f"CASE WHEN json_type(v) = 'OBJECT' THEN v->>'$.{n}' END AS {n}" for n in _names.split())
+    ORACLES[f"p4_{_lista}"] = f"{_ELEMENTS} SELECT DISTINCT registro_id, clave, padre_tabla, padre_clave, padre_lista, padre_pos, pos, {_values}, CASE WHEN json_type(v) <> 'OBJECT' THEN v->>'$' END AS valor FROM t WHERE lista = '{_lista}'"
 
 
 def _flat(lista: str) -> Callable[[SparkSession, str], DataFrame]:
