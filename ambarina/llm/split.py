@@ -210,14 +210,16 @@ def _attempt(tries: DataFrame, texts: DataFrame, overlap: int) -> DataFrame:
     wanted = inside.groupBy("case_id", "seq", "n", "at", "total").agg(F.collect_list(F.struct("k", "i")).alias("windows"))
     within = wanted.join(texts, ["case_id", "seq", "n"]).mapInPandas(_look_into(overlap), T.StructType([tries.schema["case_id"], *_fields("k i fin"), T.StructField("corte", T.IntegerType())]))
     within = within.groupBy("case_id", "k", "i").agg(F.max(F.struct("corte", "fin")).alias("m")).select("case_id", "k", "i", "m.fin", "m.corte")
-    heads = tries.select("case_id", "total", "k").distinct()
-    ends = heads.select("case_id", "k", F.col("k").alias("i"), F.col("total").alias("fin"), F.lit(TURN).alias("corte"))
-    starts = heads.select("case_id", "k", F.lit(0).cast("long").alias("i"), F.lit(overlap).cast("long").alias("fin"), F.lit(None).cast("int").alias("corte"))
-    cuts = at_turns.unionByName(within).unionByName(ends).unionByName(starts)
-    # each end meets the one before as a row of the next piece, so one aggregate pairs them
-    own = cuts.filter("i >= 1").select("case_id", "k", "i", "fin", "corte", F.lit(None).cast("long").alias("before"))
-    next_ = cuts.filter("i < k").select("case_id", "k", (F.col("i") + 1).alias("i"), F.lit(None).cast("long").alias("fin"), F.lit(None).cast("int").alias("corte"), F.col("fin").alias("before"))
-    paired = own.unionByName(next_).groupBy("case_id", "k", "i").agg(F.max("fin").alias("fin"), F.max("corte").alias("corte"), F.max("before").alias("before"))
+    # the text's beginning and end: every dialogue has a turn at 0
+    bound = lambda i, fin, corte: F.struct(i.cast("long").alias("i"), fin.cast("long").alias("fin"), corte.cast("int").alias("corte"))
+    bounds = F.explode(F.array(bound(F.lit(0), F.lit(overlap), F.lit(None)), bound(F.col("k"), F.col("total"), F.lit(TURN)))).alias("b")
+    heads = tries.filter("at = 0").select("case_id", "total", "k").distinct().select("case_id", "k", bounds).select("case_id", "k", "b.*")
+    # each cut ends a piece and begins the next, so one aggregate pairs them
+    no = F.lit(None)
+    ends = F.struct("i", "fin", "corte", no.cast("long").alias("before"))
+    begins = F.struct((F.col("i") + 1).alias("i"), no.cast("long").alias("fin"), no.cast("int").alias("corte"), F.col("fin").alias("before"))
+    both = at_turns.unionByName(within).unionByName(heads).select("case_id", "k", F.explode(F.array(ends, begins)).alias("p")).filter("p.i between 1 and k")
+    paired = both.groupBy("case_id", "k", F.col("p.i").alias("i")).agg(F.max("p.fin").alias("fin"), F.max("p.corte").alias("corte"), F.max("p.before").alias("before"))
     return paired.filter("fin is not null and before is not null").select("case_id", "k", "i", (F.col("before") - overlap).alias("inicio"), "fin", "corte")
 
 
