@@ -144,10 +144,11 @@ def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p1_similar(spark: SparkSession, d: str) -> DataFrame:
-    """The most similar name of the list for every distinct name typed: the join alone, without the check."""
+    """The item with the most similar form (name, synonym or foreign term) for every distinct name as typed: the shuffled join alone."""
     left = table(spark, d, "entradas").filter("nombre is not null").select(F.col("nombre").alias("l"), F.col("nombre").alias("text")).distinct()
-    right = table(spark, d, "terminologia").select(F.col("termino_id").alias("r"), F.col("nombre").alias("text"))
-    return terms.similarity_join(left, right, 0.3).select(F.col("l").alias("nombre"), F.col("r").alias("termino_id"), "jaccard")
+    forms = terms.form_rows(table(spark, d, "terminologia")).groupBy("form").agg(F.min("k").alias("termino_id"))
+    best = terms.similarity_join(left, forms.select(F.col("form").alias("r"), F.col("form").alias("text")), terms.SIMILAR)
+    return best.join(forms, best.r == forms.form).select(F.col("l").alias("nombre"), "termino_id", "jaccard")
 
 
 @query

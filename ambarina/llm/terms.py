@@ -704,7 +704,7 @@ def _mapped(df: DataFrame, schema: str, each) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def _form_rows(terms: DataFrame) -> DataFrame:
+def form_rows(terms: DataFrame) -> DataFrame:
     """k, lang, name (plain), form (its words): a row a form of the list."""
     english = F.regexp_replace("snomed_termino", r"\s*\([^()]*\)\s*$", "")
     es = F.transform(F.concat(F.array("nombre"), F.coalesce("sinonimos", F.array())), lambda n: F.struct(F.lit("es").alias("lang"), n.alias("n")))
@@ -748,7 +748,7 @@ def word_facts(words: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def meanings(texts: DataFrame, forms: DataFrame, facts: DataFrame) -> DataFrame:
-    """t, kind, ids: what every text (t) means by ``forms`` (``_form_rows``): the similarity join as a plan, then the check with the similar forms
+    """t, kind, ids: what every text (t) means by ``forms`` (``form_rows``): the similarity join as a plan, then the check with the similar forms
     of the text and the ``facts`` of its words. Texts that are codes are not answered here."""
     named = forms.groupBy("form").agg(F.collect_set(F.struct("k", "lang", "name")).alias("of"))
     pairs = similarity_join(texts.select(F.col("t").alias("l"), F.col("t").alias("text")), named.select(F.col("form").alias("r"), F.col("form").alias("text")), OPEN, best=False)
@@ -774,7 +774,7 @@ def resolve_shuffled(entries: DataFrame, terms: DataFrame, key: str = "entrada_i
     The same join and check, but that a word both shortened and mistyped, or written together with another and mistyped, is read only as
     words of the forms that are similar to the text as typed.
     """
-    forms = cut(_form_rows(terms))
+    forms = cut(form_rows(terms))
     words = cut(corpus_words(entries, key, ("nombre", "snomed_termino")).filter("kind = 'w'"))
     listed = _mapped(forms.select("lang", "form"), "v string, lang string", lambda lang, form: [(w, lang) for w in form.split()]).distinct()
     own = entries.select(key, "nombre", "cie10", "snomed_ct", "snomed_termino").distinct()
