@@ -57,7 +57,8 @@ NOTHING = (
     "sin hallazgos|sin datos|sin diagnostico|sin especificar|ninguno|ninguna|nada|x|xx|xxx|null|none|nan|vacio|sd|s d|nc|n c|otro|otros|error|prueba|test"
 ).split("|")
 #: Beginnings that change what a word means, so that one for another is no slip.
-BEGINNINGS = ("hiper hipo hyper hypo sub super supra infra micro macro mega pseudo seudo des dis dys anti contra inter intra extra endo exo ecto peri para meta epi mono bi di poli poly oligo neo iso hetero homo re pre post pro ante retro semi multi uni pan").split()
+BEGINNINGS = frozenset(("hiper hipo hyper hypo sub super supra infra micro macro mega pseudo seudo des dis dys anti contra inter intra extra endo exo ecto peri para meta epi mono bi di poli poly oligo neo iso hetero homo re pre post pro ante retro semi multi uni pan").split())
+_LENGTHS = sorted({len(b) for b in BEGINNINGS})
 OPPOSED = [set(p.split("/")) for p in "interno/externo interna/externa superior/inferior anterior/posterior medial/lateral internal/external upper/lower".split()]
 SAME = {"agudo": "aguda", "cronico": "cronica"}
 
@@ -137,15 +138,20 @@ def other_word(word: str, known: str) -> bool:
     """Whether the two differ by what changes meaning, not by a slip."""
     if any(word in p and known in p for p in OPPOSED):
         return True
-    for a in BEGINNINGS:
-        if word.startswith(a) and len(word) - len(a) >= 4:
+    for a in _begins(word):
+        if len(word) - len(a) >= 4:
             stem = word[len(a) :]
-            for b in ("", *BEGINNINGS):
-                if distance(a, b, 2) >= 2 and known.startswith(b) and len(known) - len(b) >= 4 and distance(stem, known[len(b) :], 1) <= 1 and stem[:2] == known[len(b) :][:2]:
+            for b in ("", *_begins(known)):
+                if distance(a, b, 2) >= 2 and len(known) - len(b) >= 4 and distance(stem, known[len(b) :], 1) <= 1 and stem[:2] == known[len(b) :][:2]:
                     return True
     return False
 
 
+def _begins(word: str) -> list[str]:
+    """The beginnings that a word has."""
+    return [b for n in _LENGTHS if (b := word[:n]) in BEGINNINGS]
+
+
 @dataclass(frozen=True)
 class Token:
     word: str
@@ -160,7 +166,7 @@ def tokens(text: str) -> list[Token]:
         w, dot = m[0].rstrip("."), m[0].endswith(".")
         if w.isdigit():
             continue
-        if any(c.isdigit() for c in w) and any(c.isalpha() for c in w):
+        if not w.isalpha() and any(c.isdigit() for c in w) and any(c.isalpha() for c in w):
             w = "".join(_NEAR.get(c, c) for c in w)
         out.append(Token(w, dot or m is found[-1] and text.endswith(m[0])))
     return out
@@ -237,6 +243,10 @@ class Forms:
         self.vocabulary = {w for ws in self.form_words for w in ws}
         for own_ in (self.vocabulary, *self.languages.values()):
             own_ |= {a for a, b in SAME.items() if b in own_}
+        self.longer: dict[str, list[str]] = defaultdict(list)  # of each beginning the list words that have it and more
+        for w in sorted(self.vocabulary):
+            for n in range(2, len(w)):
+                self.longer[w[:n]].append(w)
         self.longest_word = max(map(len, self.vocabulary), default=0)
         self.most_words = max(map(len, self.form_words), default=0)
         self.less: dict[str, list[str]] = defaultdict(list)
@@ -358,7 +368,7 @@ class Forms:
 
     def _readings(self, t: Token) -> list[tuple[tuple[str, ...], float]]:
         w = t.word
-        shorts = [((v,), 0.25) for v in self.vocabulary if v.startswith(w) and len(v) > len(w)] if t.short and len(w) >= 2 else []
+        shorts = [((v,), 0.25) for v in self.longer.get(w, ())] if t.short and len(w) >= 2 else []
         if w in self.vocabulary:
             twins = [((v,), 1.0) for v, d in self.around(w) if d == 1 and not other_word(w, v)]
             foreign = [((v,), float(d)) for v, d in self._near(w, 2) if 0 < d and not other_word(w, v)]
@@ -371,7 +381,7 @@ class Forms:
         if not every and t.short and len(w) >= 4:  # shortened and mistyped
             every = [((v,), 1.25) for v in self.vocabulary if len(v) > len(w) and distance(w, v[: len(w)], 1) <= 1]
         if not every and len(w) >= 7 and w not in self.own_words:  # shortened without a mark
-            every = [((v,), 1.5) for v in self.vocabulary if v.startswith(w[:-1])]
+            every = [((v,), 1.5) for v in (w[:-1], *self.longer.get(w[:-1], ())) if v in self.vocabulary]
         return list(dict.fromkeys(every))
 
     def _fits(self, form: list[str], typed: list[tuple[tuple[tuple[str, ...], float], ...]]) -> tuple[float, list[str]] | None:
