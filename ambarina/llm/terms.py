@@ -468,6 +468,7 @@ class Forms:
             return "fuera", ()  # every such word would have to be one of the form
         readings: list = []
         tail, odd = None, None
+        slipped: list[tuple[str, tuple]] = []  # words that resemble none of the list whole, with what they are read as
         for i, x in enumerate(typed):
             if len(x.word) <= 3 and x.word not in self.vocabulary:
                 if i == len(typed) - 1 and x.short and not any(s.startswith(x.word) for s in LITTLE):
@@ -488,6 +489,8 @@ class Forms:
                 odd = x.word  # it may still be the one word a form lacks, badly mistyped
                 continue
             readings.append(o)
+            if x.word not in self.vocabulary and not self.around(x.word):
+                slipped.append((x.word, o))
         readings = [r for r in readings if r and r[0]]
         if not readings:
             return "nada" if tail is None and odd is None else "fuera", ()  # an unknown word says something
@@ -495,6 +498,12 @@ class Forms:
         full, part = self._checked(self._similar(readings, rest), readings, odd, tail)
         if not full:  # what stays open is similar as typed
             full, part = self._checked(self.candidates(grams(typed), self.open), readings, odd, tail)
+        if not full and not part and odd is None and tail is None and len(readings) > 1:
+            # one word may be read as another than it is: it may be the one word a form lacks, badly mistyped
+            for word, options in slipped:
+                others = [r for r in readings if r is not options]
+                if len(others) == len(readings) - 1:
+                    full += self._checked(self._similar(others, [Token(word, False)]), others, word, None)[0]
         if full:
             # as read, every word of these is typed: their Jaccard value is 1, and the fewest edits are best
             least = min(full)[0]
