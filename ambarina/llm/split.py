@@ -156,7 +156,7 @@ def _tries(total: Column, limit: int, overlap: int, turn: int) -> Column:
     if turn == 0:
         return F.array(least)
     if turn == 1:
-        return F.filter(F.sequence(least + 1, least + ONE_BY_ONE), lambda k: k < sure)
+        return F.filter(F.sequence(least + 1, least + ONE_BY_ONE), lambda k: k <= sure)
     far = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda j: least + ONE_BY_ONE + F.pow(F.lit(2.0), j).cast("long"))
     return F.array_distinct(F.array_append(F.filter(far, lambda k: k < sure), sure))
 
@@ -177,18 +177,21 @@ def split_dialogues(turns: DataFrame, limit: int, overlap: int) -> DataFrame:
     for turn in range(3):
         tries = left.withColumn("k", F.explode(_tries(F.col("total"), limit, overlap, turn)))
         pieces = cut(_attempt(tries, texts, overlap))
-        fits = pieces.groupBy("case_id", "k").agg(F.max(F.col("fin") - F.col("inicio")).alias("__m"), F.count("*").alias("__n")).filter((F.col("__m") <= limit) & (F.col("__n") == F.col("k")))
-        chosen = fits.groupBy("case_id").agg(F.min("k").alias("k"))
-        got = pieces.join(chosen, ["case_id", "k"], "left_semi").select("case_id", (F.col("i") - 1).alias("pieza"), "inicio", "fin", "corte")
+        size = F.col("fin") - F.col("inicio")
+        whole = (F.max(size) <= limit) & (F.count(size) == F.col("k"))
+        judged = pieces.groupBy("case_id", "k").agg(whole.alias("fits")).groupBy("case_id").agg(F.min(F.when(F.col("fits"), F.col("k"))).alias("k"))
+        got = pieces.join(judged, ["case_id", "k"], "left_semi").select("case_id", (F.col("i") - 1).alias("pieza"), "inicio", "fin", "corte")
         done = got if done is None else done.unionByName(got)
-        left = left.join(chosen, "case_id", "left_anti")
-        if turn == 2 or left.isEmpty():
+        failed = judged.filter("k is null").select("case_id")
+        if turn == 2 or failed.isEmpty():
             break
+        left = left.join(failed, "case_id", "left_semi")
     return done
 
 
 def _attempt(tries: DataFrame, texts: DataFrame, overlap: int) -> DataFrame:
-    """case_id, k, i (from 1), inicio, fin, corte: the pieces of every case at every count it tries, whether or not they fit."""
+    """case_id, k, i (from 1), inicio, fin, corte: the pieces of every case at every count it tries, whether or not they fit. Of every count
+    there is a row, if only with nulls."""
     # positions in units of 1 / (REACH k): the window of cut i is REACH i new - new ... REACH i new + new
     at, end = (F.expr(f"{REACH} * k * ({x} - {overlap})") for x in ("at", "(at + n)"))
     t = tries.withColumn("new", F.col("total") - overlap).withColumn("__at", at).withColumn("__end", end)
@@ -220,7 +223,7 @@ def _attempt(tries: DataFrame, texts: DataFrame, overlap: int) -> DataFrame:
     begins = F.struct((F.col("i") + 1).alias("i"), no.cast("long").alias("fin"), no.cast("int").alias("corte"), F.col("fin").alias("before"))
     both = at_turns.unionByName(within).unionByName(heads).select("case_id", "k", F.explode(F.array(ends, begins)).alias("p")).filter("p.i between 1 and k")
     paired = both.groupBy("case_id", "k", F.col("p.i").alias("i")).agg(F.max("p.fin").alias("fin"), F.max("p.corte").alias("corte"), F.max("p.before").alias("before"))
-    return paired.filter("fin is not null and before is not null").select("case_id", "k", "i", (F.col("before") - overlap).alias("inicio"), "fin", "corte")
+    return paired.select("case_id", "k", "i", (F.col("before") - overlap).alias("inicio"), "fin", "corte")
 
 
 def _fields(names: str) -> list[T.StructField]:
